@@ -1,9 +1,228 @@
-"""The query catalogue."""
+"""The query catalogue: each query over whole tables, and the SQL that must give the same rows."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from corvane.functions import tools
+from corvane.functions.text import sentences, strip
+from corvane.operators import agent, chat, context, evaluate, retrieve, roles, store
+from corvane.operators.chunks import EXAMPLE_WIDTH, chunk, min_len
+from corvane.sources.readers import table
+
+K, TASK = 10, "the of and thing er"
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+_WS = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_CHUNKS = f"c AS (SELECT doc_id, i AS seq, substring(text, i * {EXAMPLE_WIDTH} + 1, {EXAMPLE_WIDTH}) AS text FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / {EXAMPLE_WIDTH}.0) AS BIGINT))) AS i FROM documents))"
+_TOKENS = f"t AS (SELECT doc_id, seq, list_distinct(list_filter(string_split_regex(text, '{_WS}+'), lambda x: x <> '')) AS toks FROM c)"
+_ASKED = f"q AS (SELECT item_id, text, list_distinct(list_filter(string_split_regex(text, '{_WS}+'), lambda x: x <> '')) AS toks FROM benchmark)"
+_TOP = f"top AS (SELECT * FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, seq) AS rk, doc_id, seq, score FROM (SELECT item_id, doc_id, seq, CAST(len(list_intersect(t.toks, q.toks)) AS BIGINT) AS score FROM t, q)) WHERE rk <= {K})"
+_RANKED = f"WITH {_CHUNKS}, {_TOKENS}, {_ASKED}, {_TOP}"
+_CONTEXT = "ctx AS (SELECT item_id, string_agg('[CHUNK ' || doc_id || '#' || seq || ' | doc=' || doc_id || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rk) AS context FROM top JOIN c USING (doc_id, seq) GROUP BY item_id)"
+_STEPS = f"s AS (SELECT item_id, list_filter(list_transform(string_split(text, '.'), lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: x <> '') AS steps FROM benchmark)"
+_OUTPUT = "'EXECUTION_RESULT:' || chr(10) || 'Prompt:' || chr(10) || array_to_string(steps, chr(10)) || chr(10) || '---' || chr(10) || 'Context-snippet: ' || substring(context, 1, 200)"
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk(table(spark, sf_dir, "documents"), EXAMPLE_WIDTH)
+
+
+def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark")
+
+
+def _topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.topk_batch(_tasks(spark, sf_dir), _chunks(spark, sf_dir), K)
+
+
+def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.assemble(retrieve.with_text(_topk(spark, sf_dir), _chunks(spark, sf_dir)), _tasks(spark, sf_dir))
+
+
+def _loop(spark: SparkSession, sf_dir: str, loop: agent.Loop) -> DataFrame:
+    return agent.run(_contexts(spark, sf_dir).join(_tasks(spark, sf_dir), "item_id"), loop)
+
+
+@query("SELECT doc_id, source, length(text) AS n_len FROM documents")
+def scan_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").cast("bigint").alias("n_len"))
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id, seq, text FROM c")
+def chunk_fixed(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("doc_id", F.col("seq").cast("bigint").alias("seq"), "text")
+
+
+@query(f"WITH {_CHUNKS} SELECT * FROM (SELECT doc_id, seq, CAST(length(regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g')) AS BIGINT) AS n_stripped FROM c) WHERE n_stripped >= 20")
+def filter_min_len(spark, sf_dir):
+    return min_len(_chunks(spark, sf_dir)).select("doc_id", F.col("seq").cast("bigint").alias("seq"), F.length(strip(F.col("text"))).cast("bigint").alias("n_stripped"))
+
+
+def _stored(spark, sf_dir):
+    writes = table(spark, sf_dir, "conversations").select(F.col("role").alias("id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("wseq"), "text")
+    return store.upsert(writes)
+
+
+@query("SELECT role AS id, arg_max(text, conv_id * 1000 + turn) AS text, min(conv_id * 1000 + turn) AS pos FROM conversations GROUP BY role")
+def store_upsert(spark, sf_dir):
+    return _stored(spark, sf_dir)
+
+
+@query("SELECT role AS id, min(conv_id * 1000 + turn) AS pos FROM conversations GROUP BY role ORDER BY pos")
+def all_chunks(spark, sf_dir):
+    return _stored(spark, sf_dir).orderBy("pos").select("id", "pos")
+
+
+@query(f"WITH {_CHUNKS}, {_TOKENS} SELECT row_number() OVER (ORDER BY score DESC, doc_id, seq) AS rk, * FROM (SELECT doc_id, seq, CAST(len(list_intersect(toks, string_split('{TASK}', ' '))) AS BIGINT) AS score FROM t ORDER BY score DESC, doc_id, seq LIMIT {K})")
+def topk_single(spark, sf_dir):
+    top = store.topk_single(_chunks(spark, sf_dir), TASK, K).select("doc_id", "seq", "score")
+    # k rows: their rank is their place in the sorted list
+    rows = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "doc_id", "seq"))).alias("a")).select(F.posexplode("a").alias("rk", "x"))
+    return rows.select((F.col("rk") + 1).cast("bigint").alias("rk"), "x.doc_id", F.col("x.seq").cast("bigint").alias("seq"), (-F.col("x.s")).alias("score"))
+
+
+@query(f"{_RANKED} SELECT item_id, rk, doc_id, seq, score FROM top")
+def topk_batch(spark, sf_dir):
+    return _topk(spark, sf_dir).withColumn("seq", F.col("seq").cast("bigint"))
+
+
+@query(f"{_RANKED} SELECT item_id, rk, doc_id, seq, score FROM top")
+def topk_batch_cross(spark, sf_dir):
+    return retrieve.topk_batch_cross(_tasks(spark, sf_dir), _chunks(spark, sf_dir), K).withColumn("seq", F.col("seq").cast("bigint"))
+
+
+@query(f"{_RANKED} SELECT * FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY length(text) DESC, rk) AS rk, doc_id, seq, CAST(length(text) AS BIGINT) AS n_len FROM top JOIN c USING (doc_id, seq)) WHERE rk <= 5")
+def rerank(spark, sf_dir):
+    rows = retrieve.with_text(_topk(spark, sf_dir), _chunks(spark, sf_dir))
+    return retrieve.rerank(rows, F.length("text"), 5).select("item_id", F.col("new_rk").alias("rk"), "doc_id", F.col("seq").cast("bigint").alias("seq"), F.length("text").cast("bigint").alias("n_len"))
+
+
+@query(f"{_RANKED}, {_CONTEXT} SELECT item_id, context FROM ctx")
+def context_assemble(spark, sf_dir):
+    return _contexts(spark, sf_dir)
+
+
+@query(f"WITH {_STEPS} SELECT item_id, CAST(i - 1 AS BIGINT) AS seq, steps[i] AS step FROM (SELECT item_id, steps, unnest(range(1, len(steps) + 1)) AS i FROM s)")
+def plan_sentences(spark, sf_dir):
+    return _tasks(spark, sf_dir).select("item_id", F.posexplode(sentences(F.col("text"))).alias("seq", "step")).withColumn("seq", F.col("seq").cast("bigint"))
+
+
+@query("SELECT conv_id, turn, length(p) > 10 AS accepted, CASE WHEN length(p) > 10 THEN NULL ELSE 'output too short' END AS feedback FROM (SELECT conv_id, turn, substring(text, 1, CAST(6 + 2 * turn AS BIGINT)) AS p FROM conversations)")
+def critic_accept(spark, sf_dir):
+    part = F.substring(F.col("text"), F.lit(1), (F.col("turn") * 2 + 6).cast("int"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", agent.length_critic()(part, part).alias("v")).select("conv_id", "turn", "v.accepted", "v.feedback")
+
+
+@query(f"{_RANKED}, {_CONTEXT}, {_STEPS} SELECT item_id, {_OUTPUT} AS output, length(context) AS context_len FROM ctx JOIN s USING (item_id)")
+def agent_run(spark, sf_dir):
+    return _loop(spark, sf_dir, agent.Loop()).select("item_id", "output", F.length("final_context").cast("bigint").alias("context_len"))
+
+
+@query(f"{_RANKED}, {_CONTEXT}, {_STEPS} SELECT item_id, output, CASE WHEN length(output) > 500 THEN 1 ELSE 3 END::BIGINT AS iters, length(context) + CASE WHEN length(output) > 500 THEN 0 ELSE 3 * 35 END AS context_len FROM (SELECT item_id, context, {_OUTPUT} AS output FROM ctx JOIN s USING (item_id))")
+def agent_loop_reject(spark, sf_dir):
+    return _loop(spark, sf_dir, agent.Loop(critic=agent.length_critic(500))).select("item_id", "output", "iters", F.length("final_context").cast("bigint").alias("context_len"))
+
+
+@query(f"{_RANKED}, {_CONTEXT}, {_STEPS} SELECT item_id, output, 1::BIGINT AS iters, length(context) + CASE WHEN length(output) > 500 THEN 0 ELSE 35 END AS context_len FROM (SELECT item_id, context, {_OUTPUT} AS output FROM ctx JOIN s USING (item_id))")
+def agent_loop_once(spark, sf_dir):
+    return _loop(spark, sf_dir, agent.Loop(critic=agent.length_critic(500), loop_until_accepted=False)).select("item_id", "output", "iters", F.length("final_context").cast("bigint").alias("context_len"))
+
+
+_FIRST = "CASE WHEN (item_id + 1) % 4 = 0 THEN 1 WHEN (item_id + 2) % 4 = 0 THEN 2 ELSE 3 END"
+
+
+@query(f"SELECT item_id, 'Solution for task description ''Describtion of task ''' || text || '''''' || ' based on ''' || CASE WHEN {_FIRST} = 1 THEN '' ELSE 'fb' || ({_FIRST} - 1) || '_2' END || ''' feedback.' AS solution, CAST({_FIRST} AS BIGINT) AS iters FROM benchmark")
+def roles_run(spark, sf_dir):
+    return roles.run(_tasks(spark, sf_dir), roles.Roles(roles.injected_scores(F.col("item_id")))).select("item_id", "solution", "iters")
+
+
+@query("SELECT item_id, ctx || chr(10) || 'code = ' || item_id || chr(10) || 'test_execution(code)' || chr(10) || CASE WHEN contains(ctx, 'test_string(') THEN 'test_string(code)' || chr(10) ELSE chr(10) END AS program FROM (SELECT item_id, text || CASE WHEN item_id % 2 = 0 THEN ' test_string(' ELSE '' END AS ctx FROM benchmark)")
+def program_assemble(spark, sf_dir):
+    ctx = F.concat("text", F.when(F.col("item_id") % 2 == 0, F.lit(" test_string(")).otherwise(F.lit("")))
+    return _tasks(spark, sf_dir).select("item_id", evaluate.assemble(ctx, F.col("item_id").cast("string")).alias("program"))
+
+
+@query("SELECT DISTINCT quality, CASE WHEN quality = 1 THEN 'passed' ELSE 'failed: ' END AS result, CAST(quality AS INTEGER) AS score FROM labels WHERE quality IS NOT NULL")
+def eval_execute(spark, sf_dir):
+    """A program per label value (there are two), each really run."""
+    rows = table(spark, sf_dir, "labels").where(F.col("quality").isNotNull()).select("quality").distinct()
+    rows = rows.withColumn("program", F.concat(F.lit("assert 1 == "), F.col("quality").cast("string")))
+    return evaluate.run_programs(rows, 20).select("quality", "result", "score")
+
+
+def _scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("library"), F.col("lang").alias("perturbation_type"))
+    return table(spark, sf_dir, "labels").join(docs, "doc_id").select("library", "perturbation_type", F.col("quality").alias("score"))
+
+
+_JOINED = "(SELECT quality AS score, source AS library, lang AS kind FROM labels JOIN documents USING (doc_id))"
+
+
+@query(f"SELECT count(score) AS n, avg(score) AS mean FROM {_JOINED}")
+def eval_overall(spark, sf_dir):
+    return evaluate.overall(_scores(spark, sf_dir))
+
+
+@query(f"SELECT library, count(score) AS n, avg(score) AS mean FROM {_JOINED} WHERE library IS NOT NULL GROUP BY library")
+def eval_by_library(spark, sf_dir):
+    return evaluate.by(_scores(spark, sf_dir), "library")
+
+
+@query(f"SELECT kind, count(score) AS n, avg(score) AS mean FROM {_JOINED} WHERE kind IS NOT NULL GROUP BY kind")
+def eval_by_kind(spark, sf_dir):
+    return evaluate.by(_scores(spark, sf_dir), "perturbation_type").withColumnRenamed("perturbation_type", "kind")
+
+
+@query(f"SELECT CAST(CASE grouping(library, kind) WHEN 3 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS BIGINT) AS level, coalesce(library, kind) AS key, count(score) AS n, avg(score) AS mean FROM {_JOINED} GROUP BY GROUPING SETS ((), (library), (kind))")
+def eval_summary(spark, sf_dir):
+    return evaluate.summary(_scores(spark, sf_dir))
+
+
+@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k <= 4")
+def chat_rounds(spark, sf_dir):
+    return chat.rounds(table(spark, sf_dir, "conversations"), 4).select("conv_id", "turn")
+
+
+@query(f"SELECT conv_id, turn, ends_with(regexp_replace(coalesce(text, ''), '{_WS}+$', ''), 'TERMINATE') AS is_end FROM conversations")
+def chat_terminate(spark, sf_dir):
+    return chat.ends(table(spark, sf_dir, "conversations"))
+
+
+@query("SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id")
+def chat_last_message(spark, sf_dir):
+    return chat.last_message(table(spark, sf_dir, "conversations"))
+
+
+@query("SELECT o_orderkey, CAST((o_orderkey % 97) * ((o_custkey % 13) + 2) - 5 AS VARCHAR) AS result FROM orders")
+def tool_calculator(spark, sf_dir):
+    text = F.concat((F.col("o_orderkey") % 97).cast("string"), F.lit("*("), (F.col("o_custkey") % 13).cast("string"), F.lit("+2) - 5"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", tools.calculator(text).alias("result"))
+
+
+@query("SELECT event_id, 'The weather is GOOD!' AS result FROM events")
+def tool_weather(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", tools.weather(F.col("event_type")).alias("result"))
