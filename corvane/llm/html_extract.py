@@ -39,8 +39,8 @@ _NAME = re.compile(r"[a-z]+|[0-9]+")
 SMOOTH, WORD, TAG = 1.0, 0.2, -1.0
 
 
-def _kind(tag: str, attributes: str) -> tuple[str, bool]:
-    """A tag's feature, and whether its element is boilerplate by itself."""
+def _kind(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """A tag's feature, whether its element is boilerplate by itself, and whether it is or names content."""
     out = tag in LEFT_OUT
     names: set[str] = set()
     content = tag in CONTENT
@@ -56,7 +56,7 @@ def _kind(tag: str, attributes: str) -> tuple[str, bool]:
         if names:
             content |= bool(names & NAMES_CONTENT)
             out |= bool(names & BOILERPLATE) or (bool(names & WEAK) and not content)
-    return ".".join([tag, *sorted(names & (BOILERPLATE | WEAK | NAMES_CONTENT))]), out
+    return ".".join([tag, *sorted(names & (BOILERPLATE | WEAK | NAMES_CONTENT))]), out, content and not out and tag in BLOCKS
 
 
 class Page:
@@ -64,8 +64,8 @@ class Page:
 
     def __init__(self, source: str):
         self.items: list[tuple] = []
-        self.regions: list[tuple[int, int]] = []
-        stack: list[tuple[str, str, bool, int]] = []  # tag, feature, boilerplate, its item
+        self.regions: list[tuple[int, int, bool]] = []  # first and last item of content elements; whether by tag
+        stack: list[tuple[str, str, bool, int, bool]] = []  # tag, feature, boilerplate, its item, content
         text: list[str] = []
         out = 0  # boilerplate elements that are open
         lower = None
@@ -76,15 +76,15 @@ class Page:
                 words = _html.unescape("".join(text)).split()
                 text.clear()
                 if words:
-                    self.items.append(("b", next((f for t, f, _, _ in reversed(stack) if t in BLOCKS), ""), words, out > 0))
+                    self.items.append(("b", next((f for t, f, *_ in reversed(stack) if t in BLOCKS), ""), words, out > 0))
 
         def pop(to: int) -> None:
             nonlocal out
             while len(stack) > to:
-                tag, _, bad, item = stack.pop()
+                tag, _, bad, item, content = stack.pop()
                 out -= bad
-                if tag in CONTENT:
-                    self.regions.append((item, len(self.items)))
+                if content:
+                    self.regions.append((item, len(self.items), tag in CONTENT))
 
         while at < size:
             k = source.find("<", at)
@@ -118,13 +118,11 @@ class Page:
                     self.items.append(("t", "/" + stack[depth][1]))
                     pop(depth)
                 continue
-            feature, bad = _kind(tag, attributes)
-            if tag == "header" and any(t in CONTENT for t, *_ in stack):
-                bad = False
-            elif tag == "header":
-                bad = True
+            feature, bad, content = _kind(tag, attributes)
+            if tag == "header":  # that of the content has its title
+                bad = not any(x[4] for x in stack)
             if tag in CONTENT or tag in ("body", "html"):
-                bad = False
+                bad, content = False, tag in CONTENT
             if block:
                 keep = len(stack)
                 if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
@@ -146,7 +144,7 @@ class Page:
                 self.items.append(("t", "/" + feature))
                 continue
             if tag not in VOID and not attributes.endswith("/"):
-                stack.append((tag, feature, bad, len(self.items) - 1))
+                stack.append((tag, feature, bad, len(self.items) - 1, content))
                 out += bad
         close_block()
         pop(0)
@@ -154,9 +152,10 @@ class Page:
 
 def labelled(page: Page) -> list[tuple[str, int, bool]]:
     """Features with their counts and whether they lie in the page's one content element; empty without one."""
-    if len(page.regions) != 1:
+    regions = [x for x in page.regions if x[2]]
+    if len(regions) != 1:
         return []
-    a, b = page.regions[0]
+    a, b, _ = regions[0]
     return [(("w " + x[1]) if x[0] == "b" else x[1], len(x[2]) if x[0] == "b" else 1, a <= i <= b and not (x[0] == "b" and x[3])) for i, x in enumerate(page.items)]
 
 
@@ -197,9 +196,14 @@ def extract(source: str | None, weights: dict[str, float]) -> str:
     a, b = best_run(scores)
     if a < b:
         # words of the run decide which content element it belongs to
-        mass = [sum(len(x[2]) for x in page.items[max(a, p) : min(b, q + 1)] if x[0] == "b" and not x[3]) for p, q in page.regions]
-        if mass and max(mass) * 2 > sum(len(x[2]) for x in page.items[a:b] if x[0] == "b" and not x[3]):
-            a, b = page.regions[mass.index(max(mass))]
+        def words(p: int, q: int) -> int:
+            return sum(len(x[2]) for x in page.items[p:q] if x[0] == "b" and not x[3])
+
+        most = words(a, b)
+        around = [(tagged, words(max(a, p), min(b, q + 1)), -k, p, q) for k, (p, q, tagged) in enumerate(page.regions)]
+        around = [x for x in around if x[1] * 2 > most]
+        if around:
+            *_, a, b = max(around)
             b += 1
     return "\n".join(" ".join(x[2]) for x in page.items[a:b] if x[0] == "b" and not x[3])
 
