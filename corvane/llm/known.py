@@ -14,7 +14,7 @@ import numpy as np
 class Known:
     """Maps 64-bit hashes to runs of unsigned integers."""
 
-    def __init__(self, compute: Callable[[list[bytes], np.ndarray], list], dtype, limit: int = 3_000_000):
+    def __init__(self, compute: Callable[[list[bytes], np.ndarray], list], dtype, limit: int = 1_500_000):
         self._compute, self._dtype, self._limit = compute, dtype, limit
         self._clear()
 

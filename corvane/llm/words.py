@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240607))
@@ -51,15 +51,15 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self._n:
-            size = max(n, 2 * CHUNK)
+            size = max(n, CHUNK + 2)
             tables = []
             for b in (self._base, self._inverse):
                 t = np.full(size, b, np.uint64)
                 t[0] = 1
                 tables.append(np.cumprod(t))
+            if size > CHUNK + 2:  # kept only when it is of the usual size
+                return tuple(tables)
             self._up, self._down = tables
-            if size > 2 * CHUNK:  # kept only when it is of the usual size
-                return self._up[:n], self._down[:n]
             self._n = size
         return self._up[:n], self._down[:n]
 
@@ -83,6 +83,7 @@ def chunks(array: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
         yield i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+    pa.default_memory_pool().release_unused()
 
 
 class Words:
