@@ -163,8 +163,8 @@ def _removed(width: int):
 
 
 def _repeated(rows: DataFrame, by: list[str]) -> DataFrame:
-    """The rows whose key occurs more than once."""
-    often = rows.groupBy(*by).agg(F.count("*").alias("_n")).where("_n > 1").select(*by)
+    """The rows whose key occurs more than once. The keys are written, so that the join's rows come straight from a shuffle that can be split where a key is hot."""
+    often = written(rows.groupBy(*by).agg(F.count("*").alias("_n")).where("_n > 1").select(*by), "often")
     return rows.join(often, by, "left_semi")
 
 
