@@ -276,9 +276,9 @@ def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     a = " ".join(LOREM)
-    rows = [(i, t, "en", "s", len(t or "")) for i, t in [(1, a), (2, a), (3, " ".join(LOREM[:295])), (4, None), (5, "12 34"), (6, " ".join(LOREM[::-1])), (7, " ".join(LOREM[50:80]))]]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in [(1, a), (2, a), (3, " ".join(LOREM[:295])), (4, None), (5, "12 34"), (6, " ".join(LOREM[::-1])), (7, " ".join(LOREM[200:230]))]]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(1, " ".join(LOREM[50:80]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, " ".join(LOREM[200:230]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == {6}  # 1 holds the passage as a tenth of itself; 2 and 3 are its copies
     assert len(corpus_pipeline.STAGES) == 5
