@@ -60,23 +60,26 @@ def fit(rows: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
     return [*langs, UND], table
 
 
-def _scores(table: np.ndarray):
+def _scores(table: np.ndarray, text: str, back: list[str]):
     def run(batches):
         for batch in batches:
             total = [np.zeros((0, table.shape[1]), np.float32)]
             n = [np.zeros(0, np.int64)]
-            for _, data, offsets in W.chunks(batch["_text"]):
+            for _, data, offsets in W.chunks(batch[text]):
                 docs = len(offsets) - 1
                 buckets, doc = _trigrams(data, offsets)
                 edges = np.searchsorted(doc, np.arange(docs + 1))
-                sums = np.zeros((len(buckets) + 1, table.shape[1]))
-                np.cumsum(table[buckets], axis=0, dtype=np.float64, out=sums[1:])
-                total.append((sums[edges[1:]] - sums[edges[:-1]]).astype(np.float32))
+                part = np.empty((docs, table.shape[1]), np.float32)
+                sums = np.zeros(len(buckets) + 1)
+                for i in range(table.shape[1]):
+                    np.cumsum(table[buckets, i], dtype=np.float64, out=sums[1:])
+                    part[:, i] = sums[edges[1:]] - sums[edges[:-1]]
+                total.append(part)
                 letters = np.concatenate([[0], np.cumsum(_LETTER[W._LOWER[data]] & ~W.SPACES[data])])
                 n.append(letters[offsets[1:]] - letters[offsets[:-1]])
             flat = np.concatenate(total)
             scores = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, table.shape[1]), pa.int32()), pa.array(flat.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores, pa.array(np.concatenate(n))], names=[*batch.schema.names, "_scores", "_n"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in back), scores, pa.array(np.concatenate(n))], names=[*back, "_scores", "_n"])
 
     return run
 
@@ -113,11 +116,13 @@ def language_id(
     )
     langs, table = fit(_sample(src, sample_rows))
     known = langs[:-1]
+    own_text = f"_c{names.index(text_col)}" if text_col in names else None
 
     def scored(rows: DataFrame, keep: list[str]) -> DataFrame:
-        rows = rows.select(*keep, "_text")
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-        return rows.mapInArrow(_scores(table), f"{schema}, _scores array<float>, _n bigint").drop("_text")
+        text = own_text if own_text in keep else "_text"  # goes to the workers once
+        schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+        rows = rows.select(*dict.fromkeys([*keep, text]))
+        return rows.mapInArrow(_scores(table, text, keep), f"{schema}, _scores array<float>, _n bigint")
 
     def says(scores: list[Column]) -> Column:
         best = F.greatest(*scores) if len(scores) > 1 else scores[0]
