@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .known import forget
 
 #: Bytes of benchmark text in one hash set; a larger benchmark is scanned in more blocks.
 BLOCK_BYTES = 32 << 20
@@ -51,6 +52,7 @@ def _scan(blocks: list[_Grams], share: tuple[int, int]):
     up, down = share
 
     def run(batches):
+        forget()
         for batch in batches:
             n_words, n_hit, n_items, digests, items, spans = [], [], [], [], [], []
             for _, data, offsets in W.chunks(batch["_text"]):

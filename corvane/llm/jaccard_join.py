@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
+from .known import forget
 from .shared import partitions, written
 
 #: Members and shingles of a block, at most as the mean over a bucket's size class.
@@ -63,6 +64,7 @@ def _digests(doc: np.ndarray, h: np.ndarray, docs: int) -> tuple[np.ndarray, np.
 
 def _sets(n: int):
     def run(batches):
+        forget()
         for batch in batches:
             sizes, digests = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for _, data, offsets in W.chunks(batch["_text"]):
@@ -103,6 +105,7 @@ def _ranges(n: int, ranges: int):
         return pa.RecordBatch.from_pydict({"part": pa.array(rows["part"], pa.int32()), **{k: pa.array(rows[k], pa.binary()) for k in ("shingles", "which", "ids")}})
 
     def run(batches):
+        forget()
         parts, held = [], 0
         for batch in batches:
             for _, data, offsets in W.chunks(batch["_text"]):

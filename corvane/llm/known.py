@@ -6,11 +6,28 @@ sorted array. The memory starts anew when it holds ``limit`` entries, so it is b
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Hashable
+from typing import Any
 
 import numpy as np
 
 
+_held: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What make gives, kept by this worker until it runs an operator of another key."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def forget() -> None:
+    """Workers are used again by other operators: these let go of what the last one held."""
+    _held.clear()
+
+
 class Known:
     """Maps 64-bit hashes to runs of unsigned integers."""
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .known import forget
 from .shared import written
 
 BUCKETS = 1 << 16
@@ -62,6 +63,7 @@ def fit(rows: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
 
 def _scores(table: np.ndarray, text: str, back: list[str]):
     def run(batches):
+        forget()
         for batch in batches:
             total = [np.zeros((0, table.shape[1]), np.float32)]
             n = [np.zeros(0, np.int64)]

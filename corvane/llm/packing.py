@@ -18,32 +18,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .known import Known, gather
+from .known import Known, gather, held
 from .shared import written
 
 SALTS = 256
-_known: dict[str, Known] = {}
 
 
 def _ids(path: str) -> Known:
-    if path not in _known:
-        from tokenizers import Tokenizer
+    from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
+    t = Tokenizer.from_file(path)
 
-        def compute(words: list[bytes], _) -> list:
-            out = []
-            for i in range(0, len(words), 4096):
-                out += [e.ids for e in t.encode_batch_fast([w.decode() for w in words[i : i + 4096]], add_special_tokens=False)]
-            return out
+    def compute(words: list[bytes], _) -> list:
+        out = []
+        for i in range(0, len(words), 4096):
+            out += [e.ids for e in t.encode_batch_fast([w.decode() for w in words[i : i + 4096]], add_special_tokens=False)]
+        return out
 
-        _known[path] = Known(compute, np.uint32)
-    return _known[path]
+    return Known(compute, np.uint32)
 
 
 def _pieces(path: str, end_id: int, capacity: int):
     def run(batches):
-        known = _ids(path)
+        known = held(("packing", path), lambda: _ids(path))
         for batch in batches:
             which, piece, start, length, crc = [], [], [], [], []
             for row, data, offsets in W.chunks(batch["_text"]):

@@ -17,12 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .known import Known
+from .known import Known, held
 
 MARK = "▁"
 #: Log-probability of a byte that no piece covers.
 UNKNOWN_BYTE = -20.0
-_known: dict[str, Known] = {}
 
 
 def piece_scores(path: str) -> dict[str, float]:
@@ -63,12 +62,14 @@ def trie_counts(tokens: list[str], scores: dict[str, float]) -> list[int]:
     return out
 
 
+def _memory(path: str) -> Known:
+    scores = piece_scores(path)
+    return Known(lambda words, _: [(c,) for c in trie_counts([w.decode() for w in words], scores)], np.uint32)
+
+
 def _counts(path: str):
     def run(batches):
-        if path not in _known:
-            scores = piece_scores(path)
-            _known[path] = Known(lambda words, _: [(c,) for c in trie_counts([w.decode() for w in words], scores)], np.uint32)
-        known = _known[path]
+        known = held(("token counts", path), lambda: _memory(path))
         for batch in batches:
             pre, total = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for _, data, offsets in W.chunks(batch["_text"]):

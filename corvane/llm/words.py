@@ -8,6 +8,7 @@ byte values with a final mixing step; they are the same in every process.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,9 @@ import pyarrow.compute as pc
 
 CHUNK = 1 << 19
 
+#: Gives memory that NumPy has freed back to the system, where the C library can.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -84,6 +88,7 @@ def chunks(array: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
     pa.default_memory_pool().release_unused()
+    _trim(0)
 
 
 class Words:
