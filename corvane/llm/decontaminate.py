@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .known import forget
+from .shared import bounded_batches
 
 #: Bytes of benchmark text in one hash set; a larger benchmark is scanned in more blocks.
 BLOCK_BYTES = 32 << 20
@@ -134,6 +135,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: tup
     turn) and the text. Null and empty texts have no words and are clean; items without words
     hit nothing; repeated items count once; an empty table gives an empty one. No shuffle.
     """
+    bounded_batches(docs.sparkSession)
     blocks = read_items(benchmark, n, item_id, item_text, block_bytes)
     names = [c for c in dict.fromkeys((id_col, *keep)) if c != text_col]
     src = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)], F.col(text_col).alias("_text"))

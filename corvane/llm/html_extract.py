@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 # Element names of the HTML standard by use, and usual class names.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -224,6 +226,7 @@ def html_extract(pages: DataFrame, sample_pages: int = 300, id_col: str = "page_
     hash. Null and empty html have no text; markup that never closes ends with the page; repeated
     rows give repeated results; other columns are ignored; an empty table gives an empty one.
     """
+    bounded_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     some = rows.where(F.col("html").contains("<article") | F.col("html").contains("<main")).select("html")
     total = some.count()

@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 from . import words as W
 from .components import components
 from .known import forget
-from .shared import partitions, written
+from .shared import bounded_batches, partitions, written
 
 #: Members and shingles of a block, at most as the mean over a bucket's size class.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1 << 18
 #: Shingles that a task sorts at once before it sends blocks on.
-RUN = 1 << 21
+RUN = 1 << 20
 _U = np.uint64
 
 
@@ -134,6 +134,7 @@ def _repeated(batches):
     if not shingles:
         return
     h, s = np.concatenate(shingles), np.concatenate(sets)
+    del shingles, sets
     order = np.argsort(h, kind="stable")
     h, s = h[order], s[order]
     often = np.zeros(len(h), bool)
@@ -260,6 +261,7 @@ def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "
     if not 0 < percent <= 100 or n < 1:
         raise ValueError("n must be at least 1 and percent within 1..100")
     spark = docs.sparkSession
+    bounded_batches(spark)
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     id_type = docs.schema[id_col].dataType.simpleString()
     slim = written(base.mapInArrow(_sets(n), f"_id {id_type}, n bigint, set_id bigint"), "sets")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .known import forget
-from .shared import written
+from .shared import bounded_batches, written
 
 BUCKETS = 1 << 16
 #: Hosts in a table that is broadcast (a host is a name and a number per language); more are joined by a shuffle.
@@ -109,6 +109,7 @@ def language_id(
     row all rows are rejected; an empty table gives an empty one. Input columns of the names
     above are replaced.
     """
+    bounded_batches(df.sparkSession)
     own = ("language", "confidence", "text_language", "rejected")
     names = [c for c in df.columns if c not in own or c == text_col]
     null = F.lit(None).cast("string")

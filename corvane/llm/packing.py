@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .known import Known, gather, held
-from .shared import written
+from .shared import bounded_batches, written
 
 SALTS = 256
 
@@ -110,6 +110,7 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
     spark = docs.sparkSession
+    bounded_batches(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     pieces = written(base.mapInArrow(_pieces(tokenizer_path, end_id, capacity), f"_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint"), "pieces")

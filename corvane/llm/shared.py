@@ -13,6 +13,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of rows that the JVM sends to a Python worker at once: by rows alone, a batch grows with the texts.
+BATCH_BYTES, _BATCH = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _local: list[str] = []
 _written: list[str] = []
 
@@ -49,5 +52,11 @@ def clear(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the batches of workers in this session, unless it has a bound of its own."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import written
+from .shared import bounded_batches, written
 
 KEY = ["_k1", "_k2"]
 
@@ -179,6 +179,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if width < 1:
         raise ValueError("width must be at least 1")
+    bounded_batches(docs.sparkSession)
     run_t = "h bigint, _k1 bigint, _k2 int, pos bigint"
     base = keyed(docs, id_col, text_col)
     # runs that are the least of some window, then those that occur twice

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .known import Known, held
+from .shared import bounded_batches
 
 MARK = "▁"
 #: Log-probability of a byte that no piece covers.
@@ -94,6 +95,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     Null and empty texts count 0; repeated rows count each; other columns are ignored; an
     empty table gives an empty one.
     """
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     return base.mapInArrow(_counts(vocabulary_path), f"_id {id_type}, n_pretokens bigint, n_tokens bigint").withColumnRenamed("_id", id_col)

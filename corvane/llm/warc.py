@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import bounded_batches, written
 
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 4 << 20
 #: Fixed values of the Zstandard formats: skippable frame, seek table footer.
@@ -160,6 +160,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id"
     null url has no target line; a null id is less than any; rows that repeat the largest id are
     all responses; an empty table makes no bundle; other columns are ignored.
     """
+    bounded_batches(pages.sparkSession)
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("html")).withColumn("k", F.sha2("html", 256))
     often = rows.where(F.octet_length("html") >= min_bytes).groupBy("k").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("k", "keeper")
