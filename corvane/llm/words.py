@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 
 #: Gives memory that NumPy has freed back to the system, where the C library can.
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
