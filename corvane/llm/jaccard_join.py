@@ -210,6 +210,19 @@ def _verified(a: _Side, b: _Side, same: bool, size: int, percent: int) -> tuple[
     return i[ok], j[ok]
 
 
+def _roots(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least place of each place's component, for the links i to j."""
+    root = np.arange(size)
+    while len(i):
+        # roots are hooked, never the places themselves: a tree moves as a whole
+        np.minimum.at(root, np.maximum(root[i], root[j]), np.minimum(root[i], root[j]))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+        live = root[i] != root[j]
+        i, j = i[live], j[live]
+    return root
+
+
 def _block(percent: int):
     def run(table: pa.Table) -> pa.Table:
         n, side = table["n"].to_numpy(), table["side"].to_numpy()
@@ -235,13 +248,7 @@ def _block(percent: int):
             i, j = wa[i], wb[j]
             np.add.at(links, i, copies[j])
             np.add.at(links, j, copies[i])
-            while len(i):  # least place of each component within the block
-                low = np.minimum(root[i], root[j])
-                np.minimum.at(root, i, low)
-                np.minimum.at(root, j, low)
-                root = root[root]
-                live = root[i] != root[j]
-                i, j = i[live], j[live]
+            root = _roots(len(ids), i, j)
         keep = links > 0
         return pa.table({"set_id": pa.array(ids[keep]), "root": pa.array(ids[root][keep]), "links": pa.array(links[keep])})
 

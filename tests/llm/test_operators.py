@@ -282,3 +282,18 @@ def test_pipeline(spark, tmp_path):
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == {6}  # 1 holds the passage as a tenth of itself; 2 and 3 are its copies
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_roots_of_a_block():
+    from corvane.llm.jaccard_join import _roots
+
+    assert _roots(4, np.array([1, 2, 0]), np.array([2, 3, 3])).tolist() == [0, 0, 0, 0]
+    rng = np.random.default_rng(3)
+    for size in (1, 2, 9, 60):
+        for _ in range(200):
+            i, j = rng.integers(0, size, (2, rng.integers(0, size + 1)))
+            expected = list(range(size))
+            for _ in range(size):
+                for a, b in zip(i, j, strict=True):
+                    expected[a] = expected[b] = min(expected[a], expected[b])
+            assert _roots(size, i, j).tolist() == expected
