@@ -1,11 +1,15 @@
 """Line deduplication by a fixed-depth tree of line templates, in DataFrame operations only.
 
-A line's tokens are its parts between spaces, those with a digit masked. Its leaf in
-the tree is its token count and leading tokens. Leaves that fewer than ``min_docs`` documents
-reach are done with; in the others, a token that ``min_docs`` lines share at its place is
-constant, any other is a variable field, and a line's template is its constants with the
-fields masked. Templates of at least ``constant`` of their tokens that recur in ``min_docs``
-documents are boilerplate: their lines go, but for the first one in the corpus.
+A line's tokens are its parts between spaces and tabs; runs of ASCII characters with a digit are
+masked. Its leaf in the tree is its token count and leading tokens, or for a line of fewer than
+``min_tokens`` tokens the masked line. Leaves that fewer than ``min_docs`` documents reach are
+done with. The lines of the others have these templates: the masked line (the line itself if
+no letter is left of it), whatever its token count; and, from ``min_tokens`` tokens on, its constants
+with the fields masked, once with a token constant if ``min_docs`` lines share it at its place, once
+with a place a field if the square of its distinct values is above the leaf's distinct lines.
+Of those two only templates count whose constants and masked tokens are at least ``constant`` of all
+tokens. Templates that recur in ``min_docs`` documents are boilerplate: their lines go, but for the
+first one in the corpus, so that each line that goes has an earlier one of its template.
 
 Lines are aggregated by content before their tokens are compared, so a line that a third of
 all documents hold is one row there; counts are partial aggregates and joins are equi-joins.
@@ -29,13 +33,14 @@ def checked(small: DataFrame) -> DataFrame:
 
 
 def _masked(text: Column) -> Column:
-    return F.when(text.rlike("[0-9]"), F.regexp_replace(text, r"[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(text)
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(text, r"[!-/:-~]*+[0-9][!-~]*+", FIELD)).otherwise(text)
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 8, constant: float = 0.75, depth: int = 3, min_tokens: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Drops lines whose template recurs in ``min_docs`` documents or more, but for the first such line.
 
-    First is by id (null first), then by line. Lines of fewer than ``min_tokens`` tokens stay.
+    First is by id (null first), then by line. Lines of fewer than ``min_tokens`` tokens have no
+    template but their masked line; blank lines stay.
     Returns all columns of the input with the text that is left, and n_lines, n_dropped. A null
     text stays null with no lines, an empty text is one empty line; rows that repeat both id and
     text are one document and share its fate; a longer text has more lines and no other limit; an
@@ -45,21 +50,32 @@ def line_dedup(docs: DataFrame, min_docs: int = 8, constant: float = 0.75, depth
     base = docs.drop(*[c for c in ("n_lines", "n_dropped") if c != text_col and c in docs.columns])
     base = base.withColumn("_k1", F.xxhash64(id_col, text_col)).withColumn("_k2", F.hash(text_col, id_col))
     lines = base.select(F.col(id_col).alias("id"), "_k1", "_k2", F.posexplode(F.split(text, "\n")).alias("no", "line")).withColumn("line", F.btrim("line", F.lit(" \t\x0b\f\r")))
-    lines = lines.withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= min_tokens)
+    lines = lines.where(F.col("line") != "").withColumn("line", F.translate("line", "\t", " "))
+    lines = lines.withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
     lines = lines.withColumn("lead", F.expr(f"substring_index(line, ' ', least({int(depth)}, n div 2))"))
-    lines = lines.select("id", "_k1", "_k2", "no", "line", F.xxhash64("n", _masked(F.col("lead"))).alias("leaf"))
+    leaf = F.when(F.col("n") < min_tokens, F.xxhash64(F.lit(-1), _masked(F.col("line")))).otherwise(F.xxhash64("n", _masked(F.col("lead"))))
+    lines = lines.select("id", "_k1", "_k2", "no", "line", leaf.alias("leaf"))
     leaves = lines.select("leaf", "_k1").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
-    hot = lines.join(checked(written(leaves, "leaves")), "leaf", "left_semi").withColumn("tokens", F.split(_masked(F.col("line")), " "))
-    hot = written(hot.select("id", "_k1", "_k2", "no", "tokens", "leaf", F.xxhash64("tokens").alias("line")), "lines")
+    hot = lines.join(checked(written(leaves, "leaves")), "leaf", "left_semi").withColumn("masked", _masked(F.col("line")))
+    whole = F.when(F.col("masked").rlike(r"\p{L}"), F.xxhash64(F.lit(0), "masked")).otherwise(F.xxhash64(F.lit(1), "line"))
+    hot = hot.select("id", "_k1", "_k2", "no", whole.alias("whole"), F.split("masked", " ").alias("tokens"), "leaf", F.xxhash64("masked").alias("line"))
+    hot = written(hot, "lines")
 
-    unique = hot.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens"))
-    places = unique.select("leaf", "line", "n", F.size("tokens").alias("size"), F.posexplode(F.transform("tokens", lambda t: F.when(t != FIELD, F.xxhash64(t)))).alias("place", "token"))
-    constants = places.where("token is not null").groupBy("leaf", "place", "token").agg(F.sum("n").alias("s")).where(F.col("s") >= min_docs).select("leaf", "place", "token")
-    kept = places.join(constants, ["leaf", "place", "token"]).groupBy("leaf", "line", "size").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("constants"))
-    templates = kept.where(F.size("constants") >= constant * F.col("size")).select("line", F.xxhash64("leaf", "constants").alias("template"))
+    long = hot.where(F.size("tokens") >= min_tokens)
+    unique = long.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens"))
+    masked = F.size(F.filter("tokens", lambda t: t == FIELD))
+    places = unique.select("leaf", "line", "n", F.size("tokens").alias("size"), masked.alias("masked"), F.posexplode(F.transform("tokens", lambda t: F.when(t != FIELD, F.xxhash64(t)))).alias("place", "token")).where("token is not null")
+    tokens = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("s"), F.count("*").alias("u"))
+    values = tokens.groupBy("leaf", "place").agg(F.count("*").alias("d"), F.sum("u").alias("u"))
+    fixed = values.where(F.col("d") * F.col("d") <= F.col("u")).select("leaf", "place", F.lit(True).alias("fixed"))
+    constants = tokens.join(fixed, ["leaf", "place"], "left").select("leaf", "place", "token", (F.col("s") >= min_docs).alias("often"), F.coalesce("fixed", F.lit(False)).alias("fixed")).where("often or fixed")
+    of = lambda flag: F.sort_array(F.collect_list(F.when(F.col(flag), F.struct("place", "token"))))
+    kept = places.join(constants, ["leaf", "place", "token"]).groupBy("leaf", "line", "size", "masked").agg(of("often").alias("often"), of("fixed").alias("fixed"))
+    kept = kept.select("leaf", "line", "size", "masked", F.explode(F.array_distinct(F.array("often", "fixed"))).alias("constants")).where(F.size("constants") > 0)
+    templates = kept.where(F.size("constants") + F.col("masked") >= constant * F.col("size")).select("leaf", "line", F.xxhash64("leaf", "constants").alias("template"))
 
-    named = hot.select("id", "_k1", "_k2", "no", "line").join(templates, "line")
-    named = written(named.select("id", "_k1", "_k2", "no", "template"), "templates")
+    named = long.select("id", "_k1", "_k2", "no", "leaf", "line").join(templates, ["leaf", "line"]).select("id", "_k1", "_k2", "no", "template")
+    named = written(named.unionByName(hot.select("id", "_k1", "_k2", "no", F.col("whole").alias("template"))), "templates")
     documents = named.groupBy("template", "_k1").agg(F.min(F.struct("id", "_k1", "no")).alias("first"))
     recurring = documents.groupBy("template").agg(F.count("*").alias("d"), F.min("first").alias("first")).where(F.col("d") >= min_docs)
     recurring = written(recurring.select("template", F.col("first._k1").alias("first_k1"), F.col("first.no").alias("first_no")), "recurring")

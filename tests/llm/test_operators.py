@@ -243,6 +243,23 @@ def test_line_dedup(spark):
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_line_dedup_short_masked_and_fields(spark):
+    months = ["March", "April", "May"]
+    rows = []
+    for k in range(144):
+        own = " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j)}" for j in range(5))
+        name, town = f"N{'abcdefghijkl'[k % 12]}", f"T{'abcdef'[k // 12 % 6]}"  # each in many lines, each pair in two
+        rows.append([own, "Les.", "版权所有。保留一切权利。", f"第{k}页", f"Page {k} of {k + 3}", "Tel: 030 1234 5678", f"a\tb\t{k}", f"Posted on {k} {months[k % 3]} {1980 + k} at 10:32 by admin", f"Written by our author {name} for the town of {town} here"])
+        rows[-1] += ["", f"{k} {k + 1} {k + 2}", f"章{chr(0x4E00 + k)}{k}文 {k} {k}"]  # blank, numbers and texts of their own
+    rows.append(["own words of one more"] + ["Once."] * 9)  # in one document only
+    df = spark.createDataFrame([(k, "\n".join(r)) for k, r in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup(df).collect()}
+    assert got[144].n_dropped == 0 and got[0].text == "\n".join(rows[0])
+    for k in range(3, 144):
+        first = k < 72 and k % 12 == 0  # of its town
+        assert got[k].text == "\n".join(rows[k][:1] + rows[k][8 if first else 9 :]), k
+
+
 def test_fingerprints(spark, docs, empty):
     def units(t, lvl):
         parts = [t[i : i + 2] for i in range(max(len(t) - 1, 1))] if lvl == 0 else re.split(r"\s+", t) if lvl == 1 else re.split(r"[.!?|\n]+\s*", t)
