@@ -1,8 +1,10 @@
 """Language identification by Bayesian fusion of text, declared language, address and host.
 
 Text: a multinomial model of byte trigrams (lower-cased letters, spaces and non-ASCII bytes),
-fitted on at most ``sample_rows`` rows with a declared language, chosen by hash; one more class,
-``und``, takes all trigrams for equally likely. Declared language and address suffix: each names
+fitted on distinct texts of every declared language, chosen by hash: of each at most an equal
+share of ``sample_rows``, though never less than ``LEAST`` (a language adds 256 KB to the model),
+and a text's rows count by their logarithm; one more class, ``und``, takes all trigrams for equally
+likely. Declared language and address suffix: each names
 the true language with a given reliability. Host: a prior over languages from a grouped count
 of what the text model alone says over all rows, smoothed towards the prior of the suffix,
 itself smoothed towards that of all rows.
@@ -22,6 +24,8 @@ from .known import forget
 from .shared import bounded_batches, written
 
 BUCKETS = 1 << 16
+#: Distinct texts of a language that the model may always take.
+LEAST = 50
 #: Hosts in a table that is broadcast (a host is a name and a number per language); more are joined by a shuffle.
 BROADCAST_HOSTS = 50_000
 UND = "und"
@@ -45,13 +49,13 @@ def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return ((key * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int64), np.searchsorted(offsets, at, "right") - 1
 
 
-def fit(rows: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
-    """Languages (und last) and the log-probabilities of buckets, from (language, text) rows."""
+def fit(rows: list[tuple[str, str, float]]) -> tuple[list[str], np.ndarray]:
+    """Languages (und last) and the log-probabilities of buckets, from (language, text, weight) rows."""
     counts: dict[str, np.ndarray] = {}
-    for lang, text in rows:
+    for lang, text, weight in rows:
         for _, data, offsets in W.chunks(pa.array([text], pa.large_string())):
             buckets, _ = _trigrams(data, offsets)
-            counts[lang] = counts.get(lang, 0) + np.bincount(buckets, minlength=BUCKETS)
+            counts[lang] = counts.get(lang, 0) + weight * np.bincount(buckets, minlength=BUCKETS)
     langs = sorted(counts)
     table = np.zeros((BUCKETS, len(langs) + 1), np.float32)
     for i, lang in enumerate(langs):
@@ -90,11 +94,19 @@ def _primary(c: Column) -> Column:
     return F.lower(F.substring_index(F.substring_index(F.trim(c), "-", 1), "_", 1))
 
 
-def _sample(rows: DataFrame, most: int) -> list[tuple[str, str]]:
-    labelled = rows.where(F.col("_declared").isNotNull() & (F.col("_text") != ""))
-    total = labelled.select("_declared").count()
-    part = labelled.where(F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, most / max(total, 1)))) if total > most else labelled
-    return [(r[0], r[1]) for r in part.select("_declared", "_text").limit(most).collect()]
+def _sample(rows: DataFrame, most: int) -> list[tuple[str, str, float]]:
+    """Of each declared language, its distinct texts of the least hashes; n rows of a text weigh 1 + log2(n)."""
+    labelled = rows.where(F.col("_declared").isNotNull() & (F.col("_text") != "")).select("_declared", "_text", F.shiftrightunsigned(F.xxhash64("_text"), 2).alias("_h"))
+    texts = {r[0]: r[1] for r in labelled.groupBy("_declared").agg(F.approx_count_distinct("_h")).collect()}
+    if not texts:
+        return []
+    bound = max(LEAST, -(-most // len(texts)))
+    # half as many again as needed: the counts are estimates
+    cuts = F.create_map(*[F.lit(x) for lang, n in texts.items() for x in (lang, int(min(1.0, 1.5 * bound / max(n, 1)) * (1 << 62)))])
+    by: dict[str, list] = {}
+    for r in labelled.where(F.col("_h") <= F.element_at(cuts, F.col("_declared"))).groupBy("_declared", "_h", "_text").count().collect():
+        by.setdefault(r[0], []).append((r[1], r[2], 1 + math.log2(r[3])))
+    return [(lang, text, weight) for lang in sorted(by) for _, text, weight in sorted(by[lang])[:bound]]
 
 
 def language_id(
