@@ -30,10 +30,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by shared five-word shingles (similarity of 0.8 or more), that with the least id stays."""
-    found = jaccard_join(docs, n=5, percent=80)
-    gone = written(found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "copies")
-    return docs.join(checked(gone), "doc_id", "left_anti").select(*docs.columns)
+    """Of rows linked by shared five-word shingles (similarity of 0.8 or more), one stays: that with the least id.
+
+    Rows are told apart by all their columns: null ids come last, rows of one id are in the order of
+    a digest, and of rows that are equal in all columns one stays.
+    """
+    parts = [*docs.columns, *[F.col(c).isNull() for c in docs.columns]]
+    keyed = docs.withColumns({"_a": F.xxhash64(*parts), "_b": F.hash(*parts[::-1])})
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_a").alias("a"), F.col("_b").alias("b"))
+    found = jaccard_join(keyed.select(row.alias("row"), "text"), n=5, percent=80, id_col="row").where("n_shingles > 0")
+    first = (F.col("row.a") == F.col("component_id.a")) & (F.col("row.b") == F.col("component_id.b"))
+    # a key is either first in its component, once or more, or it goes
+    found = found.groupBy(F.col("row.a").alias("_a"), F.col("row.b").alias("_b")).agg(F.min(first).alias("first"), F.count("*").alias("n"))
+    gone = written(found.where("not first or n > 1").select("_a", "_b", "first"), "copies")
+    rest = keyed.join(checked(gone), ["_a", "_b"], "left_anti").select(*docs.columns)
+    again = gone.where("first").select("_a", "_b")
+    if again.isEmpty():
+        return rest
+    return rest.unionByName(keyed.join(checked(again), ["_a", "_b"], "left_semi").select(*docs.columns).distinct())
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
