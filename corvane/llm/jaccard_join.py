@@ -224,7 +224,9 @@ def _roots(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _block(percent: int):
-    def run(table: pa.Table) -> pa.Table:
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        _, lc, lb, hc, hb = (x.as_py() for x in key)
+        same = (lc, lb) == (hc, hb)  # one block, not two of which one is empty
         n, side = table["n"].to_numpy(), table["side"].to_numpy()
         ids, copies = table["set_id"].to_numpy(), table["copies"].to_numpy()
         lists = table["shingles"].combine_chunks()
@@ -234,7 +236,6 @@ def _block(percent: int):
         rank = np.empty(len(at), np.int64)
         rank[np.lexsort((flat[at], df[at]))] = np.arange(len(at))
         ranks = np.split(rank[inverse], np.cumsum(lengths)[:-1])
-        same = not side.any()
 
         def part(k: int) -> tuple[np.ndarray, _Side]:
             where = np.flatnonzero(side == k)
