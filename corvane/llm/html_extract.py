@@ -3,8 +3,12 @@
 A page is a sequence of tags and blocks of text. Words and tags have weights by where they
 stand, log-odds fitted on labelled pages (those with exactly one article or main element,
 whose inside is the label); without them, words count up and tags down. A linear scan finds the
-run of the sequence with the largest sum. The run is widened to the content element around it
-if there is one, and parts that are boilerplate by their element, role or class are left out.
+run of the sequence with the largest sum. Parts that are boilerplate by their element, role or class
+are left out, but for wrappers: an element that only its class or id marks and that holds all
+article and main elements of the page is not boilerplate. Parts of a class name after a modifier
+(``has-sidebar``) or with one at the end (``comments-enabled``) mark nothing. The run is widened to the
+content element that holds all that is kept of it, if there is one, else by those that hold over half
+of it; it is never narrowed.
 """
 
 from __future__ import annotations
@@ -37,28 +41,32 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^<>]*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*("[^"]*+"|'[^']*+'|[^\s"'>]++))?""", re.I)
 _NAME = re.compile(r"[a-z]+|[0-9]+")
+#: A class or id that says what the element has or lacks, not what it is.
+_MODIFIER = re.compile(r"(?:has|have|with|without|no|not|is|hide|show)[-_].*|.*[-_](?:enabled|disabled|open|closed|on|off|active|visible|hidden)")
 #: A number to add to counts of the labelled pages, and the weights where there are none.
 SMOOTH, WORD, TAG = 1.0, 0.2, -1.0
 
 
-def _kind(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """A tag's feature, whether its element is boilerplate by itself, and whether it is or names content."""
-    out = tag in LEFT_OUT
+def _kind(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """A tag's feature, whether its element is boilerplate by itself, whether by name, and whether it is or names content."""
+    out, named = tag in LEFT_OUT, False
     names: set[str] = set()
+    own: set[str] = set()  # without those of modifiers
     content = tag in CONTENT
     if attributes:
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id"):
                 names.update(_NAME.findall(value))
+                own.update(x for part in value.split() if not _MODIFIER.fullmatch(part) for x in _NAME.findall(part))
             elif key == "role":
                 out |= value in ROLES
             elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
                 out = True
         if names:
             content |= bool(names & NAMES_CONTENT)
-            out |= bool(names & BOILERPLATE) or (bool(names & WEAK) and not content)
-    return ".".join([tag, *sorted(names & (BOILERPLATE | WEAK | NAMES_CONTENT))]), out, content and not out and tag in BLOCKS
+            named = bool(own & BOILERPLATE) or (bool(own & WEAK) and not content)
+    return ".".join([tag, *sorted(names & (BOILERPLATE | WEAK | NAMES_CONTENT))]), out, named, content and not out and not named and tag in BLOCKS
 
 
 class Page:
@@ -67,7 +75,9 @@ class Page:
     def __init__(self, source: str):
         self.items: list[tuple] = []
         self.regions: list[tuple[int, int, bool]] = []  # first and last item of content elements; whether by tag
-        stack: list[tuple[str, str, bool, int, bool]] = []  # tag, feature, boilerplate, its item, content
+        stack: list[tuple[str, str, bool, int, bool, bool]] = []  # tag, feature, boilerplate, its item, content, boilerplate by name
+        named: list[tuple[int, int]] = []  # first and last item of what is boilerplate by name
+        unlike: set[int] = set()  # items of content elements that a name marks, such as a comment's
         text: list[str] = []
         out = 0  # boilerplate elements that are open
         lower = None
@@ -83,8 +93,10 @@ class Page:
         def pop(to: int) -> None:
             nonlocal out
             while len(stack) > to:
-                tag, _, bad, item, content = stack.pop()
+                tag, _, bad, item, content, by_name = stack.pop()
                 out -= bad
+                if by_name:
+                    named.append((item, len(self.items)))
                 if content:
                     self.regions.append((item, len(self.items), tag in CONTENT))
 
@@ -120,11 +132,13 @@ class Page:
                     self.items.append(("t", "/" + stack[depth][1]))
                     pop(depth)
                 continue
-            feature, bad, content = _kind(tag, attributes)
+            feature, bad, by_name, content = _kind(tag, attributes)
             if tag == "header":  # that of the content has its title
-                bad = not any(x[4] for x in stack)
+                bad, by_name = not any(x[4] for x in stack), False
             if tag in CONTENT or tag in ("body", "html"):
-                bad, content = False, tag in CONTENT
+                if by_name:
+                    unlike.add(len(self.items))
+                bad, by_name, content = False, False, tag in CONTENT
             if block:
                 keep = len(stack)
                 if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
@@ -146,10 +160,22 @@ class Page:
                 self.items.append(("t", "/" + feature))
                 continue
             if tag not in VOID and not attributes.endswith("/"):
-                stack.append((tag, feature, bad, len(self.items) - 1, content))
+                stack.append((tag, feature, bad, len(self.items) - 1, content, by_name))
                 out += bad
         close_block()
         pop(0)
+        tagged = [(p, q) for p, q, by_tag in self.regions if by_tag and p not in unlike]
+        least, most = min((p for p, _ in tagged), default=0), max((q for _, q in tagged), default=0)
+        change = Counter()
+        for p, q in named:
+            if not (tagged and p <= least and most <= q):
+                change[p] += 1
+                change[q] -= 1
+        inside = 0
+        for i, x in enumerate(self.items):
+            inside += change[i]
+            if inside and x[0] == "b":
+                self.items[i] = (*x[:3], True)
 
 
 def labelled(page: Page) -> list[tuple[str, int, bool]]:
@@ -197,16 +223,15 @@ def extract(source: str | None, weights: dict[str, float]) -> str:
             scores.append(len(x[2]) * (-abs(w) if x[3] else w))
     a, b = best_run(scores)
     if a < b:
-        # words of the run decide which content element it belongs to
         def words(p: int, q: int) -> int:
             return sum(len(x[2]) for x in page.items[p:q] if x[0] == "b" and not x[3])
 
         most = words(a, b)
         around = [(tagged, words(max(a, p), min(b, q + 1)), -k, p, q) for k, (p, q, tagged) in enumerate(page.regions)]
         around = [x for x in around if x[1] * 2 > most]
-        if around:
-            *_, a, b = max(around)
-            b += 1
+        holds = [x for x in around if x[1] == most]
+        for *_, p, q in [max(holds)] if holds else around:
+            a, b = min(a, p), max(b, q + 1)
     return "\n".join(" ".join(x[2]) for x in page.items[a:b] if x[0] == "b" and not x[3])
 
 
