@@ -21,6 +21,8 @@ from .shared import partitions
 #: Cells of a fingerprint, and of the sketches for a retry.
 SIZES = (24, 48)
 WORDS, LETTERS = 400, 48
+#: Ends of sentences: ASCII, Chinese and Japanese, Devanagari, Arabic, Ethiopic, Burmese.
+MARKS = r"[.!?|\n\u3002\uFF01\uFF1F\uFF0E\u0964\u0965\u061F\u06D4\u1362\u104A\u104B]+\s*"
 ROUNDS = 10
 #: Groups of consecutive ids for each shuffle partition.
 SPREAD = 4
@@ -33,7 +35,7 @@ def level(n_chars: Column) -> Column:
 def digests(text: Column, lvl: Column) -> Column:
     """The distinct paragraph digests of a text."""
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2)))
-    parts = F.when(lvl == 0, pairs).when(lvl == 1, F.split(text, r"\s+")).otherwise(F.split(text, r"[.!?|\n]+\s*"))
+    parts = F.when(lvl == 0, pairs).when(lvl == 1, F.split(text, r"\s+")).otherwise(F.split(text, MARKS))
     return F.array_distinct(F.transform(F.filter(parts, lambda p: p != ""), lambda p: _key(F.xxhash64(p))))
 
 
