@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import operator
 import time
+import warnings
 from collections.abc import Callable
 
 import pandas as pd
@@ -32,6 +33,10 @@ def _value(node: ast.AST):
             return _value(body)
         case ast.Constant(value=int() | float() as v) if not isinstance(v, bool):
             return v
+        case ast.Tuple(elts=[]):
+            return ()
+        case ast.Call(func=f):  # a number followed by a bracket
+            raise TypeError(f"'{type(_value(f)).__name__}' object is not callable")
         case ast.UnaryOp(op=ast.USub(), operand=x):
             return -_value(x)
         case ast.UnaryOp(op=ast.UAdd(), operand=x):
@@ -53,10 +58,14 @@ def calculate(expression: str | None) -> str | None:
     if not set(expression) <= set("0123456789+-*/(). "):
         return INVALID
     try:
-        return str(_value(ast.parse(expression.strip(), mode="eval")))
-    except SyntaxError as e:
-        return f"Error: {e.msg}"
-    except (ArithmeticError, ValueError, RecursionError, MemoryError) as e:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", SyntaxWarning)  # of calls and subscripts of numbers
+            tree = ast.parse(expression.lstrip(" "), "<string>", "eval")
+        value = _value(tree)
+        if value == ():
+            raise ValueError("unsupported expression")
+        return str(value)
+    except (SyntaxError, ArithmeticError, ValueError, TypeError, RecursionError, MemoryError) as e:
         return f"Error: {e}"
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import ends_with_stop_word
@@ -29,3 +31,26 @@ def ends(turns: DataFrame) -> DataFrame:
 def last_message(turns: DataFrame) -> DataFrame:
     out = turns.groupBy("conv_id").agg(F.max_by(F.struct("turn", "role", "text"), "turn").alias("m"))
     return out.select("conv_id", "m.*")
+
+
+def converse(seeds: DataFrame, agents: list[tuple[str, Callable[[Column], Column]]], opener: str = "User_Proxy", most: int = ROUNDS) -> DataFrame:
+    """Conversations (conv_id, turn, role, text) from seeds(conv_id, text): the opener says the seed, then agents reply in turn.
+
+    An agent makes its reply of the array of texts so far. A conversation ends with the first
+    message that ends in the stop word, or after ``most`` messages.
+    """
+    if not agents:
+        raise ValueError("a conversation needs an agent")
+    said = F.array(F.struct(F.lit(opener).alias("role"), F.col("text").alias("text")))
+
+    def step(s: Column, k: Column) -> Column:
+        heard = F.transform(s, lambda m: m["text"])
+        turn = F.pmod(k, F.lit(len(agents)))
+        message = F.struct(F.lit(agents[0][0]).alias("role"), agents[0][1](heard).alias("text"))
+        for i, (name, reply) in list(enumerate(agents))[1:]:
+            message = F.when(turn == i, F.struct(F.lit(name).alias("role"), reply(heard).alias("text"))).otherwise(message)
+        return F.when(ends_with_stop_word(F.element_at(heard, -1)), s).otherwise(F.concat(s, F.array(message)))
+
+    if most > 1:
+        said = F.aggregate(F.sequence(F.lit(0), F.lit(most - 2)), said.cast("array<struct<role:string,text:string>>"), step)
+    return seeds.select("conv_id", F.posexplode(said).alias("turn", "m")).select("conv_id", F.col("turn").cast("bigint").alias("turn"), "m.role", "m.text").where(F.lit(most > 0))

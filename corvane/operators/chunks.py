@@ -12,7 +12,6 @@ from corvane.functions.text import strip
 
 #: Default chunk width, width of the example pipeline, least stripped length.
 WIDTH, EXAMPLE_WIDTH, MIN_LEN = 1000, 512, 20
-SOURCE_KINDS_COLUMN = "source"
 
 
 def chunk(docs: DataFrame, max_chars: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,8 +38,9 @@ def apply_filter(chunks: DataFrame, rule: Callable[[Column], Column]) -> DataFra
 
 def augment(chunks: DataFrame, rule: Callable[[Column], Column]) -> DataFrame:
     """rule: text to an array of texts, each a chunk of its own."""
-    rows = chunks.withColumn("x", F.arrays_zip(rule(F.col("text")).alias("t"))).select("*", F.posexplode("x").alias("k", "y")).drop("x")
-    return rows.withColumn("id", F.concat("id", F.lit("."), F.col("k").cast("string"))).withColumn("text", F.col("y.t")).drop("k", "y")
+    rows = chunks.select(F.struct("*").alias("row"), F.posexplode(rule(F.col("text"))).alias("k", "part"))
+    own = {"id": F.concat("row.id", F.lit("."), F.col("k").cast("string")).alias("id"), "text": F.col("part").alias("text")}
+    return rows.select(*[own.get(c, F.col(f"row.`{c}`")) for c in chunks.columns])
 
 
 def compatible(left: DataFrame, right: StructType) -> bool:

@@ -84,10 +84,11 @@ def _metadata(key: str) -> Column:
     return F.when(F.map_contains_key(m, key), m[key]).otherwise(F.raise_error(F.lit(f"missing key: {key}")))
 
 
-def evaluate(tasks: DataFrame, method: Callable[[Column], Column], preprocess: Callable[[], Column] | None = None, timeout: float = TIMEOUT, quote: bool = False) -> DataFrame:
-    """One result row per task. method: the task column (or what ``preprocess`` makes of it) to the answer's text."""
-    task = preprocess() if preprocess else F.struct(*tasks.columns)
-    rows = tasks.select(_metadata("library").alias("library"), _metadata("perturbation_type").alias("perturbation_type"), assemble(F.col("code_context"), method(task), quote).alias("program"))
+def evaluate(tasks: DataFrame, method: Callable[[Column], Column], preprocess: Callable[[Column], Column] | None = None, timeout: float = TIMEOUT, quote: bool = False) -> DataFrame:
+    """One result row per task. method: the task (a struct of its columns, or what ``preprocess`` makes of that) to the answer's text."""
+    task = F.struct(*tasks.columns)
+    answer = method(preprocess(task) if preprocess else task)
+    rows = tasks.select(_metadata("library").alias("library"), _metadata("perturbation_type").alias("perturbation_type"), assemble(F.col("code_context"), answer, quote).alias("program"))
     return run_programs(rows, timeout).drop("program")
 
 
@@ -96,15 +97,19 @@ def overall(rows: DataFrame) -> DataFrame:
 
 
 def by(rows: DataFrame, key: str) -> DataFrame:
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("score").alias("n"), F.avg("score").alias("mean"))
+    """Count and mean of each key, in the order of keys."""
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("score").alias("n"), F.avg("score").alias("mean")).orderBy(key)
 
 
 def summary(rows: DataFrame, library: str = "library", kind: str = "perturbation_type") -> DataFrame:
-    """level 0 (overall), 1 (library), 2 (kind), key, n, mean in one pass; null keys only count overall; no rows give n = 0."""
+    """level 0 (overall), 1 (library), 2 (kind), key, n, mean, in the order of levels and keys.
+
+    The rows are read once. Null keys only count overall; no rows give n = 0 and a null mean.
+    """
     rows = rows.select(F.col(library).alias("a"), F.col(kind).alias("b"), "score")
+    # a row without keys and score: without it, an empty input would have no overall row
+    rows = rows.unionByName(rows.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]))
     sets = rows.groupingSets([[], ["a"], ["b"]], "a", "b").agg(F.grouping_id().alias("g"), F.count("score").alias("n"), F.avg("score").alias("mean"))
     # grouping_id has a bit for each column that a row does not group by
     out = sets.select(F.when(F.col("g") == 3, 0).when(F.col("g") == 1, 1).otherwise(2).cast("bigint").alias("level"), F.coalesce(F.when(F.col("g") == 1, F.col("a")), F.when(F.col("g") == 2, F.col("b"))).alias("key"), "n", "mean")
-    out = out.where((F.col("level") == 0) | F.col("key").isNotNull())
-    empty = rows.agg(F.count("*").alias("c")).where("c = 0").select(F.lit(0).cast("bigint").alias("level"), F.lit(None).cast("string").alias("key"), F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("mean"))
-    return out.where("level <> 0 or n >= 0").unionByName(empty)
+    return out.where((F.col("level") == 0) | F.col("key").isNotNull()).orderBy("level", "key")

@@ -18,24 +18,25 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
 def topk_batch(tasks: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
     """(item_id, rk, doc_id, seq, score) by an inverted index: distinct tokens meet in an equi-join and are counted.
 
-    Tasks with fewer than ``k`` hits get the first chunks in store order with a score of 0; those
-    are among the first ``k`` chunks that are not hits, so ``k`` rows serve every task.
+    A task with fewer than ``k`` hits gets the first chunks in store order that are no hits, with
+    a score of 0. They are among the first ``k`` chunks, so these are offered to every task: a
+    chunk that is a hit, too, keeps its score, and a task with ``k`` hits has no place for them.
+    Ids of documents and chunks may have any orderable type.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     asked = tasks.select("item_id", F.explode(tokens(F.col("text"))).alias("token"))
     held = chunks.select(*ORDER, F.explode(tokens(F.col("text"))).alias("token"))
     hits = _ranked(held.join(asked, "token").groupBy("item_id", *ORDER).agg(F.count("*").alias("score")), k)
-    first = chunks.select(*ORDER).orderBy(*ORDER).limit(2 * k).agg(F.collect_list(F.struct(*ORDER)).alias("first"))
-    got = hits.groupBy("item_id").agg(F.collect_list(F.struct(*ORDER)).alias("got"), F.count("*").alias("n"))
-    short = tasks.select("item_id").join(got, "item_id", "left").where(F.coalesce("n", F.lit(0)) < k)
-    pad = short.join(F.broadcast(first)).select("item_id", F.explode(F.array_except(F.array_sort("first"), F.coalesce("got", F.array().cast("array<struct<doc_id:bigint,seq:int>>")))).alias("c"))
-    pad = pad.select("item_id", F.col("c.doc_id").alias("doc_id"), F.col("c.seq").alias("seq"), F.lit(0).cast("bigint").alias("score"))
-    return _ranked(hits.drop("rk").unionByName(pad), k).select("item_id", F.col("rk").cast("bigint").alias("rk"), *ORDER, "score")
+    first = chunks.select(*ORDER).orderBy(*ORDER).limit(k).agg(F.collect_list(F.struct(*ORDER)).alias("first"))
+    pad = tasks.select("item_id").join(F.broadcast(first)).select("item_id", F.explode("first").alias("c"))
+    pad = pad.select("item_id", *[F.col(f"c.{c}").alias(c) for c in ORDER], F.lit(0).cast("bigint").alias("score"))
+    every = hits.drop("rk").unionByName(pad).groupBy("item_id", *ORDER).agg(F.max("score").alias("score"))
+    return _ranked(every, k).select("item_id", F.col("rk").cast("bigint").alias("rk"), *ORDER, "score")
 
 
 def topk_batch_cross(tasks: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
-    """The same by comparing every pair; for few tasks, and as a check of topk_batch."""
+    """The same by comparing every pair: a check of topk_batch, all pairs by design and not for large inputs."""
     asked = tasks.select("item_id", tokens(F.col("text")).alias("q"))
     held = chunks.select(*ORDER, tokens(F.col("text")).alias("t"))
     scored = held.crossJoin(asked).select("item_id", *ORDER, F.size(F.array_intersect("t", "q")).cast("bigint").alias("score"))

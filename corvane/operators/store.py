@@ -23,26 +23,80 @@ def topk_single(chunks: DataFrame, query: str, k: int = 10, order: tuple[str, ..
     return chunks.withColumn("score", score).orderBy(F.desc("score"), *order).limit(k)
 
 
+def _merge(rows: DataFrame) -> DataFrame:
+    """One row per id: the columns of its last write, and the places of its first and last."""
+    rest = [c for c in rows.columns if c not in ("id", "pos", "_last")]
+    out = rows.groupBy("id").agg(F.max_by(F.struct(*rest), "_last").alias("v"), F.min("pos").alias("pos"), F.max("_last").alias("_last"))
+    return out.select("id", *[F.col(f"v.{c}").alias(c) for c in rest], "pos", "_last")
+
+
 class ChunkStore:
-    """Chunks at a Parquet path; each add is a new version beside the old one."""
+    """Chunks at a Parquet path of any file system that Spark knows.
+
+    Each add is a table of its own, ``add-<number>[-<batch>]``, so nothing that is there is ever
+    written again and its cost is that of what is added. Reading merges the adds with one partial
+    aggregate per key; ``compact`` writes the merged state as ``state-<number>``, which stands for
+    all adds up to that number. A folder without its ``_SUCCESS`` mark was never finished and is
+    not read. One writer at a time: a second one fails, as its folder exists.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
-        self._spark, self._path, self._version = spark, path, 0
+        self._spark, self._path = spark, path.rstrip("/")
+
+    def _fs(self):
+        sc = self._spark.sparkContext
+        top = sc._jvm.org.apache.hadoop.fs.Path(self._path)
+        return top, top.getFileSystem(sc._jsc.hadoopConfiguration()), sc._jvm.org.apache.hadoop.fs.Path
+
+    def _folders(self) -> list[tuple[str, int, str, bool]]:
+        """(kind, number, batch, finished) of what is at the path, in order of numbers."""
+        top, fs, path = self._fs()
+        found = []
+        for x in fs.listStatus(top) if fs.exists(top) else []:
+            kind, _, rest = x.getPath().getName().partition("-")
+            number, _, batch = rest.partition("-")
+            if kind in ("add", "state") and number.isdigit():
+                found.append((kind, int(number), batch, fs.exists(path(x.getPath(), "_SUCCESS"))))
+        return sorted(found, key=lambda f: f[1])
+
+    def add(self, chunks: DataFrame, order_col: str = "wseq", batch: str = "") -> bool:
+        """chunks: id, the store's columns, and the order of writes within this add (any orderable type, the same
+        in all adds of a store).
+
+        ``batch`` names the add: one whose name is there already is a replay and changes nothing.
+        Returns whether the chunks were added.
+        """
+        folders = self._folders()
+        if batch and any(f[2] == batch and f[3] for f in folders if f[0] == "add"):
+            return False
+        number = 1 + max((f[1] for f in folders), default=0)
+        written = F.struct(F.lit(number).cast("bigint").alias("add"), F.col(order_col).alias("order"))
+        _merge(chunks.withColumns({"pos": written, "_last": written}).drop(order_col)).write.parquet(f"{self._path}/add-{number:08d}{'-' * bool(batch)}{batch}")
+        return True
 
-    def _at(self, version: int) -> str:
-        return f"{self._path}/v{version}"
+    def _merged(self) -> DataFrame:
+        done = [f for f in self._folders() if f[3]]
+        if not done:
+            raise FileNotFoundError(f"no chunks at {self._path}")
+        state = max((f[1] for f in done if f[0] == "state"), default=0)
+        names = [f"{self._path}/{k}-{n:08d}{'-' * bool(b)}{b}" for k, n, b, _ in done if (k == "state" and n == state) or (k == "add" and n > state)]
+        rows = [self._spark.read.parquet(n) for n in names]
+        if len(rows) == 1:
+            return rows[0]
+        every = rows[0]
+        for r in rows[1:]:
+            every = every.unionByName(r)
+        return _merge(every)
 
-    def add(self, chunks: DataFrame, order_col: str = "wseq") -> None:
-        """chunks: id, the store's columns, and the order of writes within this batch."""
-        new = chunks.withColumn(order_col, F.struct(F.lit(self._version + 1).alias("v"), F.col(order_col).cast("bigint").alias("w")))
-        if self._version:
-            new = self.all().withColumn(order_col, F.col("pos")).drop("pos").unionByName(new)
-        upsert(new, order_col=order_col).write.mode("overwrite").parquet(self._at(self._version + 1))
-        self._version += 1
+    def compact(self) -> None:
+        """Writes the state, so that reading no longer merges the adds before it."""
+        done = [f for f in self._folders() if f[3]]
+        if done and done[-1][0] == "add":
+            self._merged().write.parquet(f"{self._path}/state-{done[-1][1]:08d}")
 
     def all(self) -> DataFrame:
         """Every chunk, in store order."""
-        return self._spark.read.parquet(self._at(self._version)).orderBy("pos")
+        return self._merged().drop("_last").orderBy("pos")
 
     def query(self, text: str, k: int = 10) -> DataFrame:
-        return topk_single(self.all(), text, k, ("pos",))
+        return topk_single(self._merged().drop("_last"), text, k, ("pos",))

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import tools
 from corvane.functions.text import sentences, strip
 from corvane.operators import agent, chat, context, evaluate, retrieve, roles, store
 from corvane.operators.chunks import EXAMPLE_WIDTH, chunk, min_len
-from corvane.sources.readers import table
+from corvane.sources.readers import read_tasks, spread, table
+from corvane.sources.sinks import write_tasks
 
 K, TASK = 10, "the of and thing er"
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,7 +53,7 @@ _OUTPUT = "'EXECUTION_RESULT:' || chr(10) || 'Prompt:' || chr(10) || array_to_st
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk(table(spark, sf_dir, "documents"), EXAMPLE_WIDTH)
+    return chunk(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), EXAMPLE_WIDTH)
 
 
 def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,10 +136,10 @@ def plan_sentences(spark, sf_dir):
     return _tasks(spark, sf_dir).select("item_id", F.posexplode(sentences(F.col("text"))).alias("seq", "step")).withColumn("seq", F.col("seq").cast("bigint"))
 
 
-@query("SELECT conv_id, turn, length(p) > 10 AS accepted, CASE WHEN length(p) > 10 THEN NULL ELSE 'output too short' END AS feedback FROM (SELECT conv_id, turn, substring(text, 1, CAST(6 + 2 * turn AS BIGINT)) AS p FROM conversations)")
+@query("SELECT conv_id, turn, coalesce(length(text) > 60, false) AS accepted, CASE WHEN length(text) > 60 THEN NULL ELSE 'output too short' END AS feedback FROM conversations")
 def critic_accept(spark, sf_dir):
-    part = F.substring(F.col("text"), F.lit(1), (F.col("turn") * 2 + 6).cast("int"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", agent.length_critic()(part, part).alias("v")).select("conv_id", "turn", "v.accepted", "v.feedback")
+    text = F.col("text")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", agent.length_critic(60)(text, text).alias("v")).select("conv_id", "turn", "v.accepted", "v.feedback")
 
 
 @query(f"{_RANKED}, {_CONTEXT}, {_STEPS} SELECT item_id, {_OUTPUT} AS output, length(context) AS context_len FROM ctx JOIN s USING (item_id)")
@@ -166,12 +171,40 @@ def program_assemble(spark, sf_dir):
     return _tasks(spark, sf_dir).select("item_id", evaluate.assemble(ctx, F.col("item_id").cast("string")).alias("program"))
 
 
-@query("SELECT DISTINCT quality, CASE WHEN quality = 1 THEN 'passed' ELSE 'failed: ' END AS result, CAST(quality AS INTEGER) AS score FROM labels WHERE quality IS NOT NULL")
+@query("SELECT doc_id, quality, CASE WHEN quality = 1 THEN 'passed' ELSE 'failed: ' END AS result, CAST(quality AS INTEGER) AS score FROM labels WHERE quality IS NOT NULL")
 def eval_execute(spark, sf_dir):
-    """A program per row of labels, each really run; their distinct results."""
-    rows = table(spark, sf_dir, "labels").where(F.col("quality").isNotNull()).select("quality")
+    """A program per row of labels, each really run."""
+    rows = spread(table(spark, sf_dir, "labels")).where(F.col("quality").isNotNull()).select("doc_id", "quality")
     rows = rows.withColumn("program", F.concat(F.lit("assert 1 == "), F.col("quality").cast("string")))
-    return evaluate.run_programs(rows, 20).select("quality", "result", "score").distinct()
+    return evaluate.run_programs(rows, 20).select("doc_id", "quality", "result", "score")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share; only a local session may use one of this machine."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="corvane-")
+        atexit.register(shutil.rmtree, top, ignore_errors=True)
+        top = f"file://{top}"
+    return f"{top.rstrip('/')}/corvane/{name}-{uuid.uuid4().hex}"
+
+
+_JUDGED = "(SELECT CAST(item_id % 3 = item_id % 2 AS INTEGER) AS score, 'library ' || (item_id % 4) AS library, 'kind ' || (item_id % 3) AS kind FROM benchmark)"
+
+
+@query(f"SELECT CAST(CASE grouping(library, kind) WHEN 3 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS BIGINT) AS level, coalesce(library, kind) AS key, count(score) AS n, avg(score) AS mean FROM {_JUDGED} GROUP BY GROUPING SETS ((), (library), (kind))")
+def eval_end_to_end(spark, sf_dir):
+    """Tasks as a JSON-lines file, read again; an answer, a program and its run for each; the summary."""
+    item = F.col("item_id")
+    kinds = F.create_map(F.lit("library"), F.concat(F.lit("library "), (item % 4).cast("string")), F.lit("perturbation_type"), F.concat(F.lit("kind "), (item % 3).cast("string")))
+    check = F.concat(F.lit("def test_execution(code):\n    assert code == "), (item % 2).cast("string"))
+    tasks = _tasks(spark, sf_dir).select(F.col("text").alias("prompt"), (item % 3).cast("string").alias("reference_code"), kinds.alias("metadata"), check.alias("code_context"))
+    path = _folder(spark, "tasks")
+    write_tasks(tasks, path)
+    rows = read_tasks(spark, path, spark.sparkContext.defaultParallelism)
+    return evaluate.summary(evaluate.evaluate(rows, lambda answer: answer, lambda task: task["reference_code"], timeout=20))
 
 
 def _scores(spark, sf_dir):
@@ -226,3 +259,49 @@ def tool_calculator(spark, sf_dir):
 @query("SELECT event_id, 'The weather is GOOD!' AS result FROM events")
 def tool_weather(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", tools.weather(F.col("event_type")).alias("result"))
+
+
+class Busy(Exception):
+    """What the stub client raises at the first try of each text."""
+
+
+class _Stub:
+    def __init__(self):
+        self._tried = set()
+
+    def __call__(self, text: str) -> str:
+        if text not in self._tried:
+            self._tried.add(text)
+            raise Busy
+        return f"echo: {text}"
+
+
+@query("SELECT conv_id, turn, 'echo: ' || text AS answer FROM conversations")
+def model_call_retry(spark, sf_dir):
+    """Every message goes to a stub model, which fails at the first try."""
+    call = tools.model_call(_Stub, tries=2, first_wait=0.0, retry_on=(Busy,))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", call(F.col("text")).alias("answer"))
+
+
+@query("""SELECT item_id AS conv_id, CAST(k AS BIGINT) AS turn, CASE WHEN k = 0 THEN 'User_Proxy' WHEN k % 2 = 1 THEN 'Planner' ELSE 'Critic' END AS role,
+ CASE WHEN k = 0 THEN text WHEN k % 2 = 1 THEN 'Plan ' || k ELSE 'Critique ' || k || CASE WHEN k >= item_id % 9 THEN ' TERMINATE' ELSE '' END END AS text
+FROM (SELECT item_id, text, unnest(range(10)) AS k FROM benchmark) WHERE k <= greatest(2, item_id % 9 + item_id % 9 % 2)""")
+def chat_converse(spark, sf_dir):
+    """A planner and a critic in turn, after a seed, until the critic ends it or ten messages are said."""
+    agents = [
+        ("Planner", lambda heard: F.concat(F.lit("Plan "), F.size(heard).cast("string"))),
+        ("Critic", lambda heard: F.concat(F.lit("Critique "), F.size(heard).cast("string"), F.when(F.size(heard) >= F.col("conv_id") % 9, F.lit(" TERMINATE")).otherwise(F.lit("")))),
+    ]
+    return chat.converse(_tasks(spark, sf_dir).select(F.col("item_id").alias("conv_id"), "text"), agents)
+
+
+@query("""SELECT role AS id, arg_max(text, w) AS text, row_number() OVER (ORDER BY min(w)) AS place
+FROM (SELECT role, text, conv_id % 2 * 1000000000000 + conv_id * 1000 + turn AS w FROM conversations) GROUP BY role""")
+def store_reopen(spark, sf_dir):
+    """Two adds to a store at a path, the second of them by another store object, read by a third."""
+    writes = table(spark, sf_dir, "conversations").select(F.col("role").alias("id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("wseq"), "text", (F.col("conv_id") % 2).alias("part"))
+    path = _folder(spark, "store")
+    for part in (0, 1):
+        store.ChunkStore(spark, path).add(writes.where(F.col("part") == part).drop("part"), batch=f"part{part}")
+    rows = store.ChunkStore(spark, path).all()
+    return rows.select("id", "text", F.row_number().over(Window.orderBy("pos")).cast("bigint").alias("place"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +11,21 @@ TASK = "prompt string, reference_code string, metadata map<string,string>, code_
 REQUIRED = ("prompt", "reference_code", "metadata", "code_context")
 
 
+#: Spark cuts files into parts of at least so many bytes.
+LEAST_PART = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals a table over all cores that is too small to be cut into a part for each; others are left as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * LEAST_PART else rows
+
+
 def _checked(rows: DataFrame) -> DataFrame:
     def required(c: str) -> Column:
         return F.when(F.col(c).isNull(), F.raise_error(F.lit(f"missing key: {c}"))).otherwise(F.col(c)).alias(c)
@@ -34,8 +47,19 @@ def parse_tasks(lines: DataFrame, column: str = "value") -> DataFrame:
     return _checked(lines.select(F.from_json(column, TASK, {"mode": "FAILFAST"}).alias("x")).select("x.*"))
 
 
+def address(host: str, port: int | str, path: str = "") -> str:
+    """The address of a service from its parts."""
+    return f"http://{host}:{port}{path}"
+
+
 def endpoint(mode: str, remote: str, local: str) -> str:
     """The address of the chosen connection."""
     if mode not in ("remote", "local"):
-        raise ValueError(f"unknown connection: {mode}")
+        raise ValueError(f"not implemented connection: {mode}")
     return remote if mode == "remote" else local
+
+
+def configured(env: Mapping[str, str]) -> str:
+    """The model's address by environment: CONNECTION chooses between LLM_ and VLLM_ with HOST, PORT and PATH each."""
+    remote, local = (address(*(env.get(f"{p}_{part}", "") for part in ("HOST", "PORT", "PATH"))) for p in ("LLM", "VLLM"))
+    return endpoint(env.get("CONNECTION", ""), remote, local)

@@ -19,6 +19,11 @@ def summary_text(summary: DataFrame) -> str:
     return "\n".join(block([(r.key or "score", r.n, r.mean) for r in rows if r.level == k], (heads[k], "count", "mean")) for k in heads)
 
 
+def write_tasks(tasks: DataFrame, path: str) -> None:
+    """Tasks as gzipped JSON lines, which readers.read_tasks reads."""
+    tasks.write.option("compression", "gzip").json(path)
+
+
 def write_text(text: str, path: str) -> None:
     with open(path, "w") as f:
         f.write(text)

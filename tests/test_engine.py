@@ -140,3 +140,107 @@ def test_topk_plan_is_native(spark):
     t = spark.createDataFrame([(1, "a")], "item_id long, text string")
     plan = retrieve.topk_batch(t, c, 2)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "WindowGroupLimit" in plan and "CartesianProduct" not in plan
+
+
+def test_store_keeps_what_is_there(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "id string, text string, wseq long")
+    path = str(tmp_path / "s")
+    with pytest.raises(FileNotFoundError):
+        store.ChunkStore(spark, path).all()
+    assert store.ChunkStore(spark, path).add(rows(("x", "x1", 1), ("y", "y1", 2)), batch="b-0")
+    again = store.ChunkStore(spark, path)
+    assert again.add(rows(("z", "z1", 1), ("x", "x2", 2)), batch="b-1") and not again.add(rows(("x", "lost", 1)), batch="b-1")
+    (tmp_path / "s" / "add-00000009-b-2").mkdir()  # an add that was never finished
+    want = [("x", "x2"), ("y", "y1"), ("z", "z1")]
+    for compact in (False, True, False):
+        if compact:
+            again.compact()
+        assert [(r.id, r.text) for r in store.ChunkStore(spark, path).all().collect()] == want
+    assert store.ChunkStore(spark, path).add(rows(("y", "y2", 5)), batch="b-2")
+    assert [(r.id, r.text) for r in again.all().collect()] == [("x", "x2"), ("y", "y2"), ("z", "z1")]
+    assert [r.id for r in again.query("y2", 1).collect()] == ["y"]
+
+
+def test_stream_replays_and_order(spark, tmp_path):
+    from corvane.streaming.ingest import ingest
+
+    docs = lambda *r: spark.createDataFrame(list(r), "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = store.ChunkStore(spark, str(tmp_path / "s"))
+
+    def turn():
+        ingest(spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in")), s, str(tmp_path / "c")).awaitTermination(60)
+        return [(r.id, r.text[0]) for r in s.all().collect()]
+
+    docs((9, "a" * 1100), (3, "b" * 30))
+    assert turn() == [("3#0", "b"), ("9#0", "a"), ("9#1", "a"), ("9#2", "a")]
+    docs((1, "c" * 30), (3, "d" * 30))
+    want = [("3#0", "d"), ("9#0", "a"), ("9#1", "a"), ("9#2", "a"), ("1#0", "c")]
+    assert turn() == want
+    for name in ("commits/1", "commits/.1.crc"):  # the batch was added, but the stream did not get to know
+        (tmp_path / "c" / name).unlink()
+    s = store.ChunkStore(spark, str(tmp_path / "s"))
+    assert turn() == want and len([x for x in (tmp_path / "s").iterdir()]) == 2
+
+
+def test_topk_of_string_ids(spark):
+    c = spark.createDataFrame([("b", 0, "x y"), ("a", 0, "z"), ("a", 1, "x")], "doc_id string, seq int, text string")
+    t = spark.createDataFrame([("t", "x y"), ("u", "q")], "item_id string, text string")
+    got = sorted(map(tuple, retrieve.topk_batch(t, c, 3).collect()))
+    assert got == [("t", 1, "b", 0, 2), ("t", 2, "a", 1, 1), ("t", 3, "a", 0, 0), ("u", 1, "a", 0, 0), ("u", 2, "a", 1, 0), ("u", 3, "b", 0, 0)]
+    assert got == sorted(map(tuple, retrieve.topk_batch_cross(t, c, 3).collect()))
+
+
+def test_calculator_says_what_python_says(spark):
+    for e in ("1+", "2(3)", "2(3", "", "1 2", "01", "0**-1", "1.5//0", "((", "  3+4", "-()", "2()", "3 .5", "2.0**5000", "(-8)**0.5"):
+        try:
+            want = str(eval(e))
+        except Exception as x:
+            want = f"Error: {x}"
+        assert tools.calculate(e) == want, e
+
+
+def test_model_call_retries_one_error(spark):
+    rows = spark.createDataFrame([("a",), (None,)], "e string")
+
+    def failing(times, error):
+        class Client:
+            left = times
+
+            def __call__(self, text):
+                if self.left:
+                    self.left -= 1
+                    raise error
+                return text * 2
+
+        return Client
+
+    call = lambda *a, **k: rows.select(tools.model_call(failing(*a), first_wait=0.0, **k)(F.col("e"))).collect()
+    assert [r[0] for r in call(2, KeyError, tries=3, retry_on=(KeyError,))] == ["aa", None]
+    for tries, error in ((2, KeyError), (3, ValueError)):
+        with pytest.raises(Exception):
+            call(2, error, tries=tries, retry_on=(KeyError,))
+
+
+def test_small_parts(spark, tmp_path):
+    assert readers.configured({"CONNECTION": "local", "VLLM_HOST": "h", "VLLM_PORT": "8", "VLLM_PATH": "/v1"}) == "http://h:8/v1"
+    with pytest.raises(ValueError):
+        readers.configured({})
+    row = {"prompt": "p", "reference_code": "1", "metadata": {"library": "n"}, "code_context": "c"}
+    lines = spark.createDataFrame([(json.dumps(row),)], "value string")
+    tasks = readers.parse_tasks(lines)
+    assert tasks.first().metadata == {"library": "n"}
+    with pytest.raises(Exception):
+        evaluate.evaluate(tasks, lambda t: t["prompt"]).collect()  # no perturbation_type
+    assert chunks.compatible(tasks, tasks.select("prompt").schema) and not chunks.compatible(tasks.select("prompt"), tasks.schema)
+    sinks.write_text("a\n", str(tmp_path / "t"))
+    assert (tmp_path / "t").read_text() == "a\n"
+    clash = spark.createDataFrame([("1", "t", 1, 2)], "id string, text string, k int, x int")
+    assert [tuple(r) for r in chunks.augment(clash, lambda t: F.array(t, F.upper(t))).collect()] == [("1.0", "t", 1, 2), ("1.1", "T", 1, 2)]
+
+
+def test_converse(spark):
+    seeds = spark.createDataFrame([(1, "go"), (2, "no TERMINATE")], "conv_id long, text string")
+    agents = [("P", lambda h: F.concat(F.lit("p"), F.size(h).cast("string"))), ("C", lambda h: F.when(F.size(h) > 3, F.lit("TERMINATE")).otherwise(F.lit("c")))]
+    got = [tuple(r) for r in chat.converse(seeds, agents).orderBy("conv_id", "turn").collect()]
+    assert got == [(1, 0, "User_Proxy", "go"), (1, 1, "P", "p1"), (1, 2, "C", "c"), (1, 3, "P", "p3"), (1, 4, "C", "TERMINATE"), (2, 0, "User_Proxy", "no TERMINATE")]
+    assert chat.converse(seeds, agents, most=1).count() == 2

@@ -12,4 +12,14 @@ def test_eval_execute_runs_a_program_per_row(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(evaluate, "run_programs", seen)
     got = catalogue.queries()["eval_execute"](spark, str(tmp_path)).collect()
-    assert ran == [5] and sorted(map(tuple, got)) == [(0, "failed: ", 0), (1, "passed", 1)]
+    want = [(k, q, "passed" if q else "failed: ", q) for k, q in [(0, 1), (1, 1), (2, 0), (4, 1), (5, 0)]]
+    assert ran == [5] and sorted(map(tuple, got)) == want
+
+
+def test_summary_runs_each_program_once(spark, tmp_path):
+    mark = f"open({str(tmp_path / 'ran')!r}, 'a').write('x')"
+    row = [("p", "1", {"library": "l", "perturbation_type": None}, f"{mark}\ndef test_execution(c): assert c == 2")]
+    tasks = spark.createDataFrame(row, "prompt string, reference_code string, metadata map<string,string>, code_context string")
+    rows = evaluate.evaluate(tasks, lambda x: x, lambda t: (t["reference_code"].cast("int") + 1).cast("string"), timeout=20)
+    got = [tuple(r) for r in evaluate.summary(rows).collect()]
+    assert got == [(0, None, 1, 1.0), (1, "l", 1, 1.0)] and (tmp_path / "ran").read_text() == "x"
