@@ -15,6 +15,7 @@ from .language_id import language_id, page_evidence
 from .line_dedup import line_dedup
 from .packing import best_fit_packing
 from .substring_dedup import substring_dedup
+from .shared import spread
 from .token_counts import token_counts
 from .warc import read_archives, write_archives
 
@@ -26,7 +27,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,15 +41,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more: what was made of them has been written, too."""
+    for t in tables:
+        _written.remove(t._written_at)
+        _delete(t.sparkSession, t._written_at)
 
 
 def clear(spark: SparkSession) -> None:
     """Deletes the tables that this process has written; their DataFrames can't be read after it."""
-    jvm = spark.sparkContext._jvm
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -60,3 +72,14 @@ def bounded_batches(spark: SparkSession) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Spark cuts files into parts of at least so many bytes.
+LEAST_PART = 4 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals a table over all cores that is too small to be cut into a part for each; others are left as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * LEAST_PART else rows

@@ -2,13 +2,16 @@
 
 All functions work on whole texts. A batch is cut into chunks of about ``CHUNK`` bytes
 at document ends, so the memory in use does not depend on the batch; a single longer
-document is one chunk. Hashes are 64-bit polynomial hashes (mod 2**64) over random
-byte values with a final mixing step; they are the same in every process.
+document is one chunk. A word's hash is a chain of bijective mixing steps over its 8-byte
+pieces and its length, or from ``LONG`` bytes on a cryptographic digest, so no pattern of
+bytes makes words collide; each seed gives another hash. Runs of words have polynomial hashes
+(mod 2**64) of these. All are the same in every process.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +24,10 @@ CHUNK = 1 << 18
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
 
 _U = np.uint64
-_RNG = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_B, _D = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_M64 = (1 << 64) - 1
-_B_INV, _D_INV = pow(_B, -1, 1 << 64), pow(_D, -1, 1 << 64)
+#: Odd bases of runs of words by seed, with their inverses mod 2**64.
+_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+#: Bytes from which on a word is hashed by a digest.
+LONG = 128
 
 #: Bytes that separate words, by the name of the word rule.
 SPACES = np.zeros(256, bool)
@@ -50,8 +52,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 class _Powers:
     """Cumulative powers of a base and of its inverse, grown as needed."""
 
-    def __init__(self, base: int, inverse: int):
-        self._base, self._inverse, self._n = base, inverse, 0
+    def __init__(self, base: int):
+        self._base, self._inverse, self._n = base, pow(base, -1, 1 << 64), 0
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self._n:
@@ -68,7 +70,7 @@ class _Powers:
         return self._up[:n], self._down[:n]
 
 
-_BYTE_POWERS, _WORD_POWERS = _Powers(_B, _B_INV), _Powers(_D, _D_INV)
+_POWERS = tuple(map(_Powers, _BASES))
 
 
 def chunks(array: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -124,25 +126,37 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.n)), self.n)
 
-    def hashes(self) -> np.ndarray:
-        """A hash of each word's bytes."""
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        up, down = _BYTE_POWERS.upto(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * up[:-1], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts])
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A hash of each word's bytes; those of different seeds are independent."""
+        size = self.ends - self.starts
+        h = mix(size.astype(np.uint64) + _U((0x9E3779B97F4A7C15 + seed * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF))
+        if not len(h):
+            return h
+        raw = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        pieces = np.ndarray((len(self.data) + 1,), "<u8", raw, strides=(1,))
+        live, k = np.flatnonzero(size < LONG), 0
+        while len(live):
+            piece = pieces[self.starts[live] + k]
+            rest = size[live] - k
+            short = rest < 8
+            piece[short] &= (_U(1) << (rest[short].astype(np.uint64) * _U(8))) - _U(1)
+            h[live] = mix(h[live] ^ piece)
+            k += 8
+            live = live[rest > 8]
+        for i in np.flatnonzero(size >= LONG).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.word(i), digest_size=8, salt=bytes([seed])).digest(), "little")
+        return h
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
 class Rolling:
-    """Hashes of runs of words, from a prefix sum."""
+    """Hashes of runs of words, from a prefix sum; each seed has a base of its own."""
 
-    def __init__(self, hashes: np.ndarray):
+    def __init__(self, hashes: np.ndarray, seed: int = 0):
         n = len(hashes) + 1
-        up, self._down = _WORD_POWERS.upto(n)
+        up, self._down = _POWERS[seed].upto(n)
         self._total = np.zeros(n, np.uint64)
         np.cumsum(hashes * up[:-1], out=self._total[1:])
 
