@@ -3,16 +3,18 @@
 A line's tokens are its parts between spaces and tabs; runs of ASCII characters with a digit are
 masked. Its leaf in the tree is its token count and leading tokens, or for a line of fewer than
 ``min_tokens`` tokens the masked line. Leaves that fewer than ``min_docs`` documents reach are
-done with. The lines of the others have these templates: the masked line (the line itself if
-no letter is left of it), whatever its token count; and, from ``min_tokens`` tokens on, its constants
-with the fields masked, once with a token constant if ``min_docs`` lines share it at its place, once
-with a place a field if the square of its distinct values is above the leaf's distinct lines.
-Of those two only templates count whose constants and masked tokens are at least ``constant`` of all
-tokens. Templates that recur in ``min_docs`` documents are boilerplate: their lines go, but for the
+done with. The lines of the others have two templates: the masked line (the line itself if no
+letter is left of it), whatever its token count; and, from ``min_tokens`` tokens on, its leaf with
+its constants. Those are its best-supported tokens, the support of a token being the number of
+the leaf's lines that hold it at its place: as many as make, with the masked tokens, ``constant``
+of all its tokens, and any that tie with the last of them. What is left are fields. Only ranks of
+supports count, never their size, so a template is the same in a corpus of any size.
+Templates that recur in ``min_docs`` documents are boilerplate: their lines go, but for the
 first one in the corpus, so that each line that goes has an earlier one of its template.
 
 Lines are aggregated by content before their tokens are compared, so a line that a third of
 all documents hold is one row there; counts are partial aggregates and joins are equi-joins.
+Leaves, lines and templates are known by 64 bits of hash, templates and documents by 96.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import dropped, written
 
 FIELD = "<*>"
 #: Rows of a table that is broadcast; a larger one is joined by a shuffle. Its rows are a few numbers each.
@@ -57,35 +59,37 @@ def line_dedup(docs: DataFrame, min_docs: int = 8, constant: float = 0.75, depth
     lines = lines.select("id", "_k1", "_k2", "no", "line", leaf.alias("leaf"))
     leaves = lines.select("leaf", "_k1").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
     hot = lines.join(checked(written(leaves, "leaves")), "leaf", "left_semi").withColumn("masked", _masked(F.col("line")))
-    whole = F.when(F.col("masked").rlike(r"\p{L}"), F.xxhash64(F.lit(0), "masked")).otherwise(F.xxhash64(F.lit(1), "line"))
-    hot = hot.select("id", "_k1", "_k2", "no", whole.alias("whole"), F.split("masked", " ").alias("tokens"), "leaf", F.xxhash64("masked").alias("line"))
+    letters = F.col("masked").rlike(r"\p{L}")
+    whole = [F.when(letters, f(F.lit(0), "masked")).otherwise(f(F.lit(1), "line")) for f in (F.xxhash64, F.hash)]
+    hot = hot.select("id", "_k1", "_k2", "no", whole[0].alias("whole"), whole[1].alias("check"), F.split("masked", " ").alias("tokens"), "leaf", F.xxhash64("masked").alias("line"))
     hot = written(hot, "lines")
 
     long = hot.where(F.size("tokens") >= min_tokens)
     unique = long.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens"))
     masked = F.size(F.filter("tokens", lambda t: t == FIELD))
-    places = unique.select("leaf", "line", "n", F.size("tokens").alias("size"), masked.alias("masked"), F.posexplode(F.transform("tokens", lambda t: F.when(t != FIELD, F.xxhash64(t)))).alias("place", "token")).where("token is not null")
-    tokens = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("s"), F.count("*").alias("u"))
-    values = tokens.groupBy("leaf", "place").agg(F.count("*").alias("d"), F.sum("u").alias("u"))
-    fixed = values.where(F.col("d") * F.col("d") <= F.col("u")).select("leaf", "place", F.lit(True).alias("fixed"))
-    constants = tokens.join(fixed, ["leaf", "place"], "left").select("leaf", "place", "token", (F.col("s") >= min_docs).alias("often"), F.coalesce("fixed", F.lit(False)).alias("fixed")).where("often or fixed")
-    of = lambda flag: F.sort_array(F.collect_list(F.when(F.col(flag), F.struct("place", "token"))))
-    kept = places.join(constants, ["leaf", "place", "token"]).groupBy("leaf", "line", "size", "masked").agg(of("often").alias("often"), of("fixed").alias("fixed"))
-    kept = kept.select("leaf", "line", "size", "masked", F.explode(F.array_distinct(F.array("often", "fixed"))).alias("constants")).where(F.size("constants") > 0)
-    templates = kept.where(F.size("constants") + F.col("masked") >= constant * F.col("size")).select("leaf", "line", F.xxhash64("leaf", "constants").alias("template"))
+    least = F.greatest(F.ceil(F.size("tokens") * float(constant)).cast("int") - masked, F.lit(1))
+    places = unique.select("leaf", "line", "n", least.alias("least"), F.posexplode(F.transform("tokens", lambda t: F.when(t != FIELD, F.xxhash64(t)))).alias("place", "token")).where("token is not null")
+    supports = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("s"))
+    ranked = places.join(supports, ["leaf", "place", "token"]).groupBy("leaf", "line", "least").agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "place", "token"))).alias("t"))
+    ranked = ranked.where(F.size("t") >= F.col("least"))
+    constants = F.array_sort(F.transform(F.filter("t", lambda x: x["s"] <= F.element_at("t", F.col("least"))["s"]), lambda x: F.struct(x["place"], x["token"])))
+    templates = ranked.select("leaf", "line", constants.alias("constants")).select("leaf", "line", F.xxhash64("leaf", "constants").alias("template"), F.hash("constants", "leaf").alias("check"))
 
-    named = long.select("id", "_k1", "_k2", "no", "leaf", "line").join(templates, ["leaf", "line"]).select("id", "_k1", "_k2", "no", "template")
-    named = written(named.unionByName(hot.select("id", "_k1", "_k2", "no", F.col("whole").alias("template"))), "templates")
-    documents = named.groupBy("template", "_k1").agg(F.min(F.struct("id", "_k1", "no")).alias("first"))
-    recurring = documents.groupBy("template").agg(F.count("*").alias("d"), F.min("first").alias("first")).where(F.col("d") >= min_docs)
-    recurring = written(recurring.select("template", F.col("first._k1").alias("first_k1"), F.col("first.no").alias("first_no")), "recurring")
-    dropped = named.join(checked(recurring), "template").where((F.col("_k1") != F.col("first_k1")) | (F.col("no") != F.col("first_no")))
-    dropped = dropped.groupBy("_k1", "_k2").agg(F.collect_set("no").alias("_gone"))
+    named = long.select("id", "_k1", "_k2", "no", "leaf", "line").join(templates, ["leaf", "line"]).select("id", "_k1", "_k2", "no", "template", "check")
+    named = written(named.unionByName(hot.select("id", "_k1", "_k2", "no", F.col("whole").alias("template"), "check")), "templates")
+    dropped(hot)
+    documents = named.groupBy("template", "check", "_k1").agg(F.min(F.struct("id", "_k1", "no")).alias("first"))
+    recurring = documents.groupBy("template", "check").agg(F.count("*").alias("d"), F.min("first").alias("first")).where(F.col("d") >= min_docs)
+    recurring = written(recurring.select("template", "check", F.col("first._k1").alias("first_k1"), F.col("first.no").alias("first_no")), "recurring")
+    gone = named.join(checked(recurring), ["template", "check"]).where((F.col("_k1") != F.col("first_k1")) | (F.col("no") != F.col("first_no")))
+    gone = gone.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_set("no")).alias("_gone"))
     parts = F.split(text, "\n")
-    left = F.filter(F.transform(parts, lambda line, i: F.struct(line.alias("line"), F.array_contains("_gone", i).alias("gone"))), lambda x: ~x["gone"])
-    out = base.join(dropped, ["_k1", "_k2"], "left")
+    # what lies between two lines that go is one slice, so a text of many lines is walked once
+    begins, ends = F.concat(F.array(F.lit(0)), F.transform("_gone", lambda i: i + 1)), F.concat("_gone", F.array(F.size(parts)))
+    left = F.flatten(F.zip_with(begins, ends, lambda b, e: F.slice(parts, b + 1, e - b)))
+    out = base.join(gone, ["_k1", "_k2"], "left")
     return out.select(
-        *[F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(F.transform(left, lambda x: x["line"]), "\n")).alias(text_col) if c == text_col else F.col(c) for c in base.columns if c not in ("_k1", "_k2")],
+        *[F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(left, "\n")).alias(text_col) if c == text_col else F.col(c) for c in base.columns if c not in ("_k1", "_k2")],
         F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("bigint").alias("n_lines"),
         F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("bigint").alias("n_dropped"),
     )
