@@ -4,8 +4,9 @@ A page is a sequence of tags and blocks of text. Words and tags have weights by
 stand, log-odds fitted on labelled pages (those with exactly one article or main element,
 whose inside is the label); without them, words count up and tags down. A linear scan finds the
 run of the sequence with the largest sum. Parts that are boilerplate by their element, role or class
-are left out, but for wrappers: an element that only its class or id marks and that holds all
-article and main elements of the page is not boilerplate. Parts of a class name after a modifier
+are left out, but for wrappers: an element that only its class or id marks is not boilerplate if it
+holds all article and main elements of the page, or all h1 headings of a page without these, or
+if nothing would be left of the page. Parts of a class name after a modifier
 (``has-sidebar``) or with one at the end (``comments-enabled``) mark nothing. The run is widened to the
 content element that holds all that is kept of it, if there is one, else by those that hold over half
 of it; it is never narrowed.
@@ -17,6 +18,7 @@ import html as _html
 import math
 import re
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,9 +29,13 @@ from .shared import bounded_batches
 # Element names of the HTML standard by use, and usual class names.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math".split())
-LEFT_OUT = frozenset("nav aside footer form script style noscript template iframe svg button select textarea head title menu dialog object canvas math".split())
+RAW = frozenset("script style textarea title noscript template iframe".split())
+LEFT_OUT = frozenset("nav aside footer form script style noscript template iframe svg button select textarea head title menu dialog object canvas".split())
 CONTENT = frozenset(("article", "main"))
+#: An end tag of another element does not close one that holds any of these.
+HOLDS = ("article", "main", "body", "table", "section")
+#: Elements that end one of their own kind, and what bounds the search for it.
+ITEMS, LISTS = frozenset("li dd dt tr td th option".split()), ("ul", "ol", "dl", "table", "menu")
 BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion recommended related reply replies respond share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
@@ -42,7 +48,8 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*("[^"]*+"|'[^']*+'|[^\s"'>]++))?""", re.I)
 _NAME = re.compile(r"[a-z]+|[0-9]+")
 #: A class or id that says what the element has or lacks, not what it is.
-_MODIFIER = re.compile(r"(?:has|have|with|without|no|not|is|hide|show)[-_].*|.*[-_](?:enabled|disabled|open|closed|on|off|active|visible|hidden)")
+_MODIFIER = re.compile(r"(?:.*[-_])?(?:has|have|with|without|no|not|is|hide|show)[-_].*|.*[-_](?:enabled|disabled|open|closed|on|off|active|visible|hidden)")
+_END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 #: A number to add to counts of the labelled pages, and the weights where there are none.
 SMOOTH, WORD, TAG = 1.0, 0.2, -1.0
 
@@ -76,25 +83,35 @@ class Page:
         self.items: list[tuple] = []
         self.regions: list[tuple[int, int, bool]] = []  # first and last item of content elements; whether by tag
         stack: list[tuple[str, str, bool, int, bool, bool]] = []  # tag, feature, boilerplate, its item, content, boilerplate by name
+        open_at: dict[str, list[int]] = {}  # places in the stack of each tag that is open
+        blocks: list[str] = []  # features of the blocks that are open
+        contents = 0  # content elements that are open
         named: list[tuple[int, int]] = []  # first and last item of what is boilerplate by name
         unlike: set[int] = set()  # items of content elements that a name marks, such as a comment's
         text: list[str] = []
         out = 0  # boilerplate elements that are open
-        lower = None
         at, size = 0, len(source)
 
+        def last(*tags: str) -> int:
+            """The topmost place in the stack of one of the tags, or -1."""
+            return max((open_at[t][-1] for t in tags if open_at.get(t)), default=-1)
+
         def close_block() -> None:
             if text:
                 words = _html.unescape("".join(text)).split()
                 text.clear()
                 if words:
-                    self.items.append(("b", next((f for t, f, *_ in reversed(stack) if t in BLOCKS), ""), words, out > 0))
+                    self.items.append(("b", blocks[-1] if blocks else "", words, out > 0))
 
         def pop(to: int) -> None:
-            nonlocal out
+            nonlocal out, contents
             while len(stack) > to:
                 tag, _, bad, item, content, by_name = stack.pop()
+                open_at[tag].pop()
+                if tag in BLOCKS:
+                    blocks.pop()
                 out -= bad
+                contents -= content
                 if by_name:
                     named.append((item, len(self.items)))
                 if content:
@@ -125,57 +142,84 @@ class Page:
             elif tag == "br":
                 text.append(" ")
             if closing:
-                depth = next((d for d in range(len(stack) - 1, -1, -1) if stack[d][0] == tag), None)
-                if depth is not None:
-                    if any(t in ("article", "main", "body", "table", "section") for t, *_ in stack[depth + 1 :]) and tag not in ("body", "html", "article", "main", "section"):
+                depth = last(tag)
+                if depth >= 0:
+                    if tag not in ("body", "html", "article", "main", "section") and last(*HOLDS) > depth:
                         continue  # a stray end tag does not close what holds it
                     self.items.append(("t", "/" + stack[depth][1]))
                     pop(depth)
                 continue
             feature, bad, by_name, content = _kind(tag, attributes)
             if tag == "header":  # that of the content has its title
-                bad, by_name = not any(x[4] for x in stack), False
+                bad, by_name = not contents, False
             if tag in CONTENT or tag in ("body", "html"):
                 if by_name:
                     unlike.add(len(self.items))
                 bad, by_name, content = False, False, tag in CONTENT
             if block:
-                keep = len(stack)
-                if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
-                    for d in range(len(stack) - 1, -1, -1):
-                        if stack[d][0] == tag or (tag in ("dd", "dt") and stack[d][0] in ("dd", "dt")):
-                            keep = d
-                            break
-                        if stack[d][0] in ("ul", "ol", "dl", "table", "menu"):
-                            break
+                if tag in ITEMS:
+                    keep = last(*(("dd", "dt") if tag in ("dd", "dt") else (tag,)))
+                    keep = keep if keep > last(*LISTS) else -1
                 else:
-                    keep = next((d for d in range(len(stack) - 1, -1, -1) if stack[d][0] == "p"), keep)
-                pop(keep)
+                    keep = last("p")
+                if keep >= 0:
+                    pop(keep)
             self.items.append(("t", feature))
-            if tag in RAW:
-                lower = source.lower() if lower is None and len(source.lower()) == size else lower
-                end = (lower or source).find(f"</{tag}", at)
-                end = size if end < 0 else end
-                at = source.find(">", end) + 1 or size
+            empty = attributes.endswith("/")
+            if tag in RAW and not (empty and tag in ("template", "iframe")):
+                end = _END[tag].search(source, at)
+                at = (source.find(">", end.start()) + 1 or size) if end else size
                 self.items.append(("t", "/" + feature))
                 continue
-            if tag not in VOID and not attributes.endswith("/"):
+            if tag not in VOID and not empty:
+                open_at.setdefault(tag, []).append(len(stack))
                 stack.append((tag, feature, bad, len(self.items) - 1, content, by_name))
+                if tag in BLOCKS:
+                    blocks.append(feature)
                 out += bad
+                contents += content
         close_block()
         pop(0)
-        tagged = [(p, q) for p, q, by_tag in self.regions if by_tag and p not in unlike]
+        self._leave_out(named, [(p, q) for p, q, by_tag in self.regions if by_tag and p not in unlike])
+
+    def _leave_out(self, named: list[tuple[int, int]], tagged: list[tuple[int, int]]) -> None:
+        """Leaves out what its name marks, but for wrappers.
+
+        Those are elements that hold all article and main elements of the page; where there is
+        none, those that hold all its h1 headings; and if nothing would be left, the outermost.
+        """
+        if not tagged:
+            tagged = [(i, i) for i, x in enumerate(self.items) if x[0] == "t" and x[1].partition(".")[0] == "h1"]
         least, most = min((p for p, _ in tagged), default=0), max((q for _, q in tagged), default=0)
-        change = Counter()
-        for p, q in named:
-            if not (tagged and p <= least and most <= q):
+        named = [(p, q) for p, q in named if not (tagged and p <= least and most <= q)]
+        while True:
+            change = Counter()
+            for p, q in named:
                 change[p] += 1
                 change[q] -= 1
-        inside = 0
-        for i, x in enumerate(self.items):
-            inside += change[i]
-            if inside and x[0] == "b":
-                self.items[i] = (*x[:3], True)
+            inside, gone, left = 0, [], False
+            for i, x in enumerate(self.items):
+                inside += change[i]
+                if x[0] == "b" and not x[3]:
+                    if inside:
+                        gone.append(i)
+                    else:
+                        left = True
+            if left or not gone:
+                break
+            named = _inner(named)  # nothing would be left of the page: they wrap it
+        for i in gone:
+            self.items[i] = (*self.items[i][:3], True)
+
+
+def _inner(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those spans that lie in another."""
+    out, end = [], -1
+    for p, q in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if q <= end:
+            out.append((p, q))
+        end = max(end, q)
+    return out
 
 
 def labelled(page: Page) -> list[tuple[str, int, bool]]:
@@ -223,11 +267,13 @@ def extract(source: str | None, weights: dict[str, float]) -> str:
             scores.append(len(x[2]) * (-abs(w) if x[3] else w))
     a, b = best_run(scores)
     if a < b:
+        total = [0, *accumulate(len(x[2]) if x[0] == "b" and not x[3] else 0 for x in page.items)]
+
         def words(p: int, q: int) -> int:
-            return sum(len(x[2]) for x in page.items[p:q] if x[0] == "b" and not x[3])
+            return total[max(p, q)] - total[p]
 
         most = words(a, b)
-        around = [(tagged, words(max(a, p), min(b, q + 1)), -k, p, q) for k, (p, q, tagged) in enumerate(page.regions)]
+        around = [(tagged, words(max(a, p), min(b, q + 1, len(page.items))), -k, p, q) for k, (p, q, tagged) in enumerate(page.regions)]
         around = [x for x in around if x[1] * 2 > most]
         holds = [x for x in around if x[1] == most]
         for *_, p, q in [max(holds)] if holds else around:
@@ -238,24 +284,35 @@ def extract(source: str | None, weights: dict[str, float]) -> str:
 def _run(weights: dict[str, float]):
     def run(batches):
         for batch in batches:
-            texts = [extract(x.as_py(), weights) for x in batch["html"]]
-            yield pa.RecordBatch.from_pydict({"page_id": batch["page_id"], "url": batch["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())})
+            texts = [extract(x.as_py(), weights) for x in batch["_html"]]
+            own = {f: batch[f] for f in batch.schema.names if f != "_html"}
+            yield pa.RecordBatch.from_pydict(own | {"text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())})
 
     return run
 
 
-def html_extract(pages: DataFrame, sample_pages: int = 300, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Returns per row the id, url, text (blocks joined by a newline; empty if there is none) and n_chars.
+def _labelled_pages(rows: DataFrame, most: int) -> list[str]:
+    """The ``most`` distinct pages with a content element that have the least hashes: the same in any order of rows."""
+    some = rows.where(F.col("_html").rlike("(?i)<(?:article|main)\\b")).select("_html", F.shiftrightunsigned(F.xxhash64("_html"), 2).alias("_h"))
+    total = some.agg(F.approx_count_distinct("_h")).first()[0]
+    cut = int(min(1.0, 1.5 * most / max(total, 1)) * (1 << 62))  # half as many again as needed: the count is an estimate
+    found = some.where(F.col("_h") <= cut).distinct().orderBy("_h", "_html").limit(most)
+    return [r[0] for r in found.collect()]
+
+
+def html_extract(pages: DataFrame, sample_pages: int = 300, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Returns per row the id, url, columns in ``keep``, text (blocks joined by a newline; empty if there is none) and n_chars.
 
-    Weights are fitted on at most ``sample_pages`` pages that hold a content element, chosen by
-    hash. Null and empty html have no text; markup that never closes ends with the page; repeated
-    rows give repeated results; other columns are ignored; an empty table gives an empty one.
+    Weights are fitted on at most ``sample_pages`` distinct pages that hold a content element,
+    chosen by hash. Null and empty html have no text; markup that never closes ends with the page;
+    any depth of elements takes linear time; pages of equal html have equal texts, repeated rows
+    give repeated results; of runs with equal sums the first counts; other columns are ignored,
+    kept ones named text or n_chars are replaced; an empty table gives an empty one.
     """
     bounded_batches(pages.sparkSession)
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    some = rows.where(F.col("html").contains("<article") | F.col("html").contains("<main")).select("html")
-    total = some.count()
-    part = some.where(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < int((1 << 20) * sample_pages / total)) if total > sample_pages else some
-    weights = fit([r.html for r in part.limit(sample_pages).collect()])
-    schema = f"page_id {pages.schema[id_col].dataType.simpleString()}, url {pages.schema[url_col].dataType.simpleString()}, text string, n_chars bigint"
-    return rows.mapInArrow(_run(weights), schema).select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
+    names = [c for c in dict.fromkeys((id_col, url_col, *keep)) if c not in ("text", "n_chars")]
+    rows = pages.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)], F.col(html_col).alias("_html"))
+    weights = fit(_labelled_pages(rows, sample_pages))
+    schema = ", ".join(f"_c{i} {pages.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
+    out = rows.mapInArrow(_run(weights), f"{schema}, text string, n_chars bigint")
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)], "text", "n_chars")
