@@ -1,25 +1,31 @@
 """N-gram Jaccard similarity join with rare-first prefix, length, positional and suffix filters.
 
-1. Documents with the same shingle set form one class, known by a 64-bit digest of the set.
-2. Document frequencies: sorted, delta-coded blocks of 56-bit shingle hashes go to ranges of
-   the hash space (a shingle occurs once per class at most, so no range grows with a hot
-   shingle beyond one entry per class). Only shingles of two or more classes come back.
-   A shingle of one class can't be shared, so it leads each rare-first order and is known
-   by its number alone: a class whose repeated shingles are fewer than the least overlap
-   has no candidate and goes at once.
-3. Classes that share a prefix shingle lie in one bucket: a component of the graph that joins
-   every class to the least class of each of its prefix shingles (as many edges as prefix
-   shingles, however large a group is).
-4. Buckets are dealt into blocks by size class and hash, bounded in members and shingles;
-   each pair of blocks whose size classes can meet is one task. There every pair with a
-   common prefix shingle passes the length, positional and suffix filters and is verified
-   once, by its exact overlap. A task returns a row per class, never the pairs.
-5. Components of the verified links.
+1. Documents with the same shingle set form one class, known by a 64-bit digest of the set;
+   classes that a second digest tells apart get ids of their own.
+2. Frequencies: each run of documents counts its shingles (56-bit hashes), and the counts, as
+   sorted, delta-coded blocks, are summed by ranges of the hash space. Only shingles counted
+   twice or more are kept. A hot shingle is one entry per run here.
+3. Classes get the frequencies of their shingles in the same ranges: a range's frequencies come
+   first, then the classes' blocks stream by and are looked up, so a task holds its frequencies
+   and one block, however hot a shingle is. A shingle counted once can't be shared, so it leads
+   each rare-first order and is known by its number alone: a class whose repeated shingles are
+   fewer than the least overlap has no candidate and goes at once.
+4. The join is on the shingles of the prefixes. Each prefix shingle of two classes or more is
+   named by its pivot, the least class that has it in its prefix, and classes meet in the buckets
+   of their pivots: shingles that stand together share a pivot, so copies of one text meet in a
+   few buckets, not in one for each shingle they share. Nothing else brings classes together.
+5. Buckets are dealt into blocks by size class and hash, bounded in members and shingles, so
+   hot ones are split; each pair of blocks whose size classes can meet is one task. There a pair
+   with a common prefix shingle of this pivot, and none of a lesser one (it is done there),
+   passes the length, positional and suffix filters and is verified once, by its exact overlap.
+   A task returns a row per class, never the pairs.
+6. Components of the verified links.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -28,12 +34,12 @@ from pyspark.sql import functions as F
 from . import words as W
 from .components import components
 from .known import forget
-from .shared import bounded_batches, partitions, written
+from .shared import bounded_batches, dropped, partitions, written
 
 #: Members and shingles of a block, at most as the mean over a bucket's size class.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1 << 18
-#: Shingles that a task sorts at once before it sends blocks on.
-RUN = 1 << 20
+#: Shingles that a task sorts at once before it sends blocks on, and those of a range of the hash space.
+RUN, RANGE = 1 << 20, 1 << 21
 _U = np.uint64
 
 
@@ -51,28 +57,34 @@ def _shingles(w: W.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], h[new]
 
 
-def _digests(doc: np.ndarray, h: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Set sizes, and a digest of each document's set."""
+def _digests(doc: np.ndarray, h: np.ndarray, docs: int, bits: int, clashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set sizes, and two digests of each document's set, the first of ``bits`` bits; the first takes in the second where it is in ``clashes``."""
     edges = np.searchsorted(doc, np.arange(docs + 1))
     n = np.diff(edges)
-    a, b = np.zeros(len(h) + 1, np.uint64), np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(W.mix(h), out=a[1:])
-    np.cumsum(W.mix(h ^ _U(0x5851F42D4C957F2D)), out=b[1:])
-    a, b = a[edges[1:]] - a[edges[:-1]], b[edges[1:]] - b[edges[:-1]]
-    return n, W.mix(a + W.mix(b + n.astype(np.uint64)))
+    sums = []
+    for salt in (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D):
+        x = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(W.mix(h ^ _U(salt)), out=x[1:])
+        sums.append(x[edges[1:]] - x[edges[:-1]])
+    a, b, c, d = sums
+    first, second = W.mix(a + W.mix(b + n.astype(np.uint64))) >> _U(64 - bits), W.mix(c + W.mix(d + n.astype(np.uint64)))
+    return n, np.where(np.isin(first, clashes), W.mix(first ^ W.mix(second)), first), second
 
 
-def _sets(n: int):
+def _sets(n: int, bits: int):
+    none = np.zeros(0, np.uint64)
+
     def run(batches):
         forget()
         for batch in batches:
-            sizes, digests = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            sizes, digests, checks = [np.zeros(0, np.int64)], [none], [none]
             for _, data, offsets in W.chunks(batch["_text"]):
                 w = W.Words(data, offsets, W.SPACES, lower=True)
-                size, digest = _digests(*_shingles(w, n), len(w.n))
+                size, digest, check = _digests(*_shingles(w, n), len(w.n), bits, none)
                 sizes.append(size)
                 digests.append(digest)
-            yield pa.RecordBatch.from_pydict({"_id": batch["_id"], "n": pa.array(np.concatenate(sizes).astype(np.int64)), "set_id": pa.array(W.signed(np.concatenate(digests)))})
+                checks.append(check)
+            yield pa.RecordBatch.from_pydict({"_id": batch["_id"], "n": pa.array(np.concatenate(sizes).astype(np.int64)), "set_id": pa.array(W.signed(np.concatenate(digests))), "check": pa.array(W.signed(np.concatenate(checks)))})
 
     return run
 
@@ -87,71 +99,117 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
 
 
-def _ranges(n: int, ranges: int):
-    def send(parts):
-        doc, h = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        order = np.argsort(h)
-        doc, h = doc[order], h[order]
-        part = ((h >> _U(24)) * _U(ranges)) >> _U(32)
-        cuts = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
-        rows = {"part": [], "shingles": [], "which": [], "ids": []}
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
-            a, b = cuts[k], cuts[k + 1]
-            ids, which = np.unique(doc[a:b], return_inverse=True)
-            rows["part"].append(k)
-            rows["shingles"].append(_pack(np.concatenate([h[a : a + 1], np.diff(h[a:b])])))
-            rows["which"].append(_pack(which))
-            rows["ids"].append(ids.tobytes())
-        return pa.RecordBatch.from_pydict({"part": pa.array(rows["part"], pa.int32()), **{k: pa.array(rows[k], pa.binary()) for k in ("shingles", "which", "ids")}})
+def _runs(batches, n: int, bits: int, clashes: np.ndarray):
+    """Class and shingle of runs of about RUN shingles; of a run's documents of one class only the first."""
+    classes, shingles, held, seen = [], [], 0, np.zeros(0, np.uint64)
+    for batch in batches:
+        for _, data, offsets in W.chunks(batch["_text"]):
+            w = W.Words(data, offsets, W.SPACES, lower=True)
+            doc, h = _shingles(w, n)
+            size, digest, _ = _digests(doc, h, len(w.n), bits, clashes)
+            first = np.zeros(len(w.n), bool)
+            first[np.unique(digest, return_index=True)[1]] = True
+            first &= (size > 0) & ~np.isin(digest, seen)
+            seen = np.concatenate([seen, digest[first]])
+            keep = first[doc]
+            classes.append(digest[doc][keep])
+            shingles.append(h[keep])
+            held += len(shingles[-1])
+            if held >= RUN:
+                yield np.concatenate(classes), np.concatenate(shingles)
+                classes, shingles, held, seen = [], [], 0, np.zeros(0, np.uint64)
+    if held:
+        yield np.concatenate(classes), np.concatenate(shingles)
+
+
+def _cut(h: np.ndarray, ranges: int) -> list[tuple[int, slice]]:
+    """The ranges that sorted hashes fall into."""
+    part = ((h >> _U(24)) * _U(ranges)) >> _U(32)
+    cuts = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
+    return [(k, slice(cuts[k], cuts[k + 1])) for k in np.flatnonzero(np.diff(cuts)).tolist()]
+
+
+def _delta(h: np.ndarray) -> bytes:
+    return _pack(np.concatenate([h[:1], np.diff(h)]))
+
+
+def _rows(part: list, kind: int, shingles: list, values: list, ids: list) -> pa.RecordBatch:
+    columns = {"part": pa.array(part, pa.int32()), "kind": pa.array([kind] * len(part), pa.int32())}
+    return pa.RecordBatch.from_pydict(columns | {k: pa.array(v, pa.binary()) for k, v in (("shingles", shingles), ("vals", values), ("ids", ids))})
+
+
+BLOCKS = "part int, kind int, shingles binary, vals binary, ids binary"
+
+
+def _counts(n: int, ranges: int, bits: int, clashes: np.ndarray):
+    """Blocks of shingles and how many of a run's documents hold each."""
 
     def run(batches):
         forget()
-        parts, held = [], 0
-        for batch in batches:
-            for _, data, offsets in W.chunks(batch["_text"]):
-                w = W.Words(data, offsets, W.SPACES, lower=True)
-                doc, h = _shingles(w, n)
-                _, digest = _digests(doc, h, len(w.n))
-                if len(h):
-                    parts.append((digest[doc], h))
-                    held += len(h)
-                if held >= RUN:
-                    yield send(parts)
-                    parts, held = [], 0
-        if parts:
-            yield send(parts)
+        for _, h in _runs(batches, n, bits, clashes):
+            h, c = np.unique(h, return_counts=True)
+            cuts = _cut(h, ranges)
+            yield _rows([k for k, _ in cuts], 0, [_delta(h[s]) for _, s in cuts], [_pack(c[s]) for _, s in cuts], [b""] * len(cuts))
 
     return run
 
 
-def _repeated(batches):
-    """The (class, shingle, frequency) rows of a range, for shingles of two classes or more."""
-    shingles, sets = [], []
+def _summed(batches):
+    """The frequencies of a range's shingles that are counted twice or more."""
+    shingles, counts, part = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], 0
     for batch in batches:
-        for s, w, i in zip(batch["shingles"].to_pylist(), batch["which"].to_pylist(), batch["ids"].to_pylist(), strict=True):
+        for p, s, v in zip(batch["part"].to_pylist(), batch["shingles"].to_pylist(), batch["vals"].to_pylist(), strict=True):
+            part = p
             shingles.append(np.cumsum(_unpack(s)))
-            sets.append(np.frombuffer(i, np.uint64)[_unpack(w).astype(np.int64)])
-    if not shingles:
-        return
-    h, s = np.concatenate(shingles), np.concatenate(sets)
-    del shingles, sets
+            counts.append(_unpack(v))
+    h, c = np.concatenate(shingles), np.concatenate(counts)
+    del shingles, counts
     order = np.argsort(h, kind="stable")
-    h, s = h[order], s[order]
-    often = np.zeros(len(h), bool)
-    often[1:] = h[1:] == h[:-1]
-    often[:-1] |= often[1:]
-    h, s = h[often], s[often]  # what stands once goes before the exact step
-    order = np.lexsort((s, h))
-    h, s = h[order], s[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
-    h, s = h[new], s[new]
+    h, c = h[order], c[order]
     start = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-    df = np.repeat(np.diff(np.append(start, len(h))), np.diff(np.append(start, len(h))))
-    h, s, df = h[df > 1], s[df > 1], df[df > 1]
-    for i in range(0, len(h), 1 << 17):
-        j = slice(i, i + (1 << 17))
-        yield pa.RecordBatch.from_pydict({"set_id": pa.array(W.signed(s[j])), "shingle": pa.array(W.signed(h[j])), "df": pa.array(df[j].astype(np.int32))})
+    if len(start):
+        h, c = h[start], np.add.reduceat(c, start)
+        h, c = h[c > 1], c[c > 1]
+        if len(h):
+            yield _rows([part], 0, [_delta(h)], [_pack(c)], [b""])
+
+
+def _ranges(n: int, ranges: int, bits: int, clashes: np.ndarray):
+    """Blocks of shingles and the classes of a run that hold them."""
+
+    def run(batches):
+        forget()
+        for classes, h in _runs(batches, n, bits, clashes):
+            order = np.argsort(h)
+            classes, h = classes[order], h[order]
+            cuts, which, ids = _cut(h, ranges), [], []
+            for _, s in cuts:
+                own, place = np.unique(classes[s], return_inverse=True)
+                which.append(_pack(place))
+                ids.append(own.tobytes())
+            yield _rows([k for k, _ in cuts], 1, [_delta(h[s]) for _, s in cuts], which, ids)
+
+    return run
+
+
+def _looked_up(batches):
+    """The (class, shingle, frequency) rows of a range: first its frequencies come, then its blocks, one by one."""
+    h, df = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    for batch in batches:
+        for kind, s, v, i in zip(*(batch[c].to_pylist() for c in ("kind", "shingles", "vals", "ids")), strict=True):
+            if kind == 0:
+                h, df = np.cumsum(_unpack(s)), _unpack(v)
+            elif len(h):
+                own = np.cumsum(_unpack(s))
+                place = np.minimum(np.searchsorted(h, own), len(h) - 1)
+                often = h[place] == own
+                ids = np.frombuffer(i, np.uint64)[_unpack(v).astype(np.int64)[often]]
+                yield pa.RecordBatch.from_pydict({"set_id": pa.array(W.signed(ids)), "shingle": pa.array(W.signed(own[often])), "df": pa.array(W.signed(df[place[often]]))})
+
+
+def _apart(a: pd.Series, b: pd.Series) -> pd.Series:
+    a, b = (x.to_numpy(np.int64).view(np.uint64) for x in (a, b))
+    return pd.Series(W.signed(W.mix(a ^ W.mix(b))))
 
 
 class _Side:
@@ -165,7 +223,7 @@ class _Side:
         self.last = np.array([r[p - 1] for r, p in zip(ranks, self.prefix, strict=True)])
 
     def dense(self, a: int, b: int, prefix: bool = False) -> np.ndarray:
-        """Which classes hold the ranks a..b-1 (in their prefix only)."""
+        """Which classes hold the ranks a..b-1 (``prefix``: in their prefix)."""
         out = np.zeros((len(self.ranks), b - a), np.float32)
         for i, r in enumerate(self.ranks):
             r = r[: self.prefix[i]] if prefix else r
@@ -176,13 +234,16 @@ class _Side:
         return np.stack([np.diff(np.searchsorted(r[p:] if suffix else r, cuts)) for r, p in zip(self.ranks, self.prefix, strict=True)])
 
 
-def _verified(a: _Side, b: _Side, same: bool, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The linked pairs of two blocks, by place."""
-    common = np.zeros((len(a.n), len(b.n)), np.float32)
-    top = int(max(a.last.max(), b.last.max())) + 1
+def _verified(a: _Side, b: _Side, same: bool, turn: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The linked pairs of two blocks, by place. turn: of each rank -1 if its pivot comes before this bucket's, 0 if it is that, else 1."""
+    common, here = np.zeros((2, len(a.n), len(b.n)), np.float32)
+    size, top = len(turn), int(max(a.last.max(), b.last.max())) + 1
     for i in range(0, top, 4096):
-        common += a.dense(i, min(top, i + 4096), True) @ b.dense(i, min(top, i + 4096), True).T
-    i, j = np.nonzero(np.triu(common, 1) if same else common)
+        x, y, t = a.dense(i, min(top, i + 4096), True), b.dense(i, min(top, i + 4096), True), turn[i : min(top, i + 4096)]
+        common += x @ y.T
+        # a pair that has met before loses more than it can gain
+        here += (x[:, t <= 0] * np.where(t[t <= 0] < 0, np.float32(-size - 1), np.float32(1))) @ y[:, t <= 0].T
+    i, j = np.nonzero(np.triu(here, 1) > 0 if same else here > 0)
     na, nb = a.n[i], b.n[j]
     ok = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)  # length
     i, j, na, nb = i[ok], j[ok], na[ok], nb[ok]
@@ -225,7 +286,7 @@ def _roots(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _block(percent: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        _, lc, lb, hc, hb = (x.as_py() for x in key)
+        bucket, lc, lb, hc, hb = (x.as_py() for x in key)
         same = (lc, lb) == (hc, hb)  # one block, not two of which one is empty
         n, side = table["n"].to_numpy(), table["side"].to_numpy()
         ids, copies = table["set_id"].to_numpy(), table["copies"].to_numpy()
@@ -236,6 +297,15 @@ def _block(percent: int):
         rank = np.empty(len(at), np.int64)
         rank[np.lexsort((flat[at], df[at]))] = np.arange(len(at))
         ranks = np.split(rank[inverse], np.cumsum(lengths)[:-1])
+        given = table["pivots"].combine_chunks()
+        prefixes = pa.compute.list_value_length(given).to_numpy()
+        pivots = given.flatten()
+        # the place of each prefix shingle among all
+        place = np.arange(len(pivots)) + np.repeat(np.cumsum(lengths) - lengths - (np.cumsum(prefixes) - prefixes), prefixes)
+        named = pivots.is_valid().to_numpy(zero_copy_only=False)
+        pivot, of = pivots.fill_null(0).to_numpy(zero_copy_only=False)[named], rank[inverse][place[named]]
+        turn = np.ones(len(at), np.int8)
+        turn[of] = (pivot > bucket).astype(np.int8) - (pivot < bucket)
 
         def part(k: int) -> tuple[np.ndarray, _Side]:
             where = np.flatnonzero(side == k)
@@ -245,7 +315,7 @@ def _block(percent: int):
         wa, a = part(0)
         wb, b = (wa, a) if same else part(1)
         if len(wa) and len(wb):
-            i, j = _verified(a, b, same, len(at), percent)
+            i, j = _verified(a, b, same, turn, percent)
             i, j = wa[i], wb[j]
             np.add.at(links, i, copies[j])
             np.add.at(links, j, copies[i])
@@ -256,7 +326,7 @@ def _block(percent: int):
     return run
 
 
-def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 64) -> DataFrame:
     """Links documents whose sets of ``n``-word shingles have a Jaccard similarity of ``percent``/100 or more.
 
     Words are split at ASCII white space and lower-cased in ASCII; a text of fewer words is one
@@ -272,22 +342,41 @@ def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "
     bounded_batches(spark)
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    slim = written(base.mapInArrow(_sets(n), f"_id {id_type}, n bigint, set_id bigint"), "sets")
-    classes = written(slim.where("n > 0").groupBy("set_id").agg(F.min("_id").alias("least_id"), F.count("*").alias("copies"), F.max("n").alias("n")), "classes")
-
-    ranges = partitions(spark)
-    packed = base.select("_text").mapInArrow(_ranges(n, ranges), "part int, shingles binary, which binary, ids binary")
-    often = packed.repartitionById(ranges, F.col("part")).mapInArrow(_repeated, "set_id bigint, shingle bigint, df int")
+    slim = written(base.mapInArrow(_sets(n, digest_bits), f"_id {id_type}, n bigint, set_id bigint, check bigint"), "sets")
+    classes = slim.where("n > 0").groupBy("set_id", "check").agg(F.min("_id").alias("least_id"), F.count("*").alias("copies"), F.max("n").alias("n"))
+    classes = written(classes, "classes")
+    # of 64-bit digests some three among 10**10 sets; the second digest joins theirs
+    again = [r[0] for r in classes.groupBy("set_id").agg(F.count("*").alias("c")).where("c > 1").limit(1_000_001).collect()]
+    if len(again) > 1_000_000:
+        raise ValueError("too many clashes: take more digest_bits")
+    clashes = np.array(again, np.int64).view(np.uint64)
+    if again:
+        apart = F.pandas_udf(_apart, "bigint")
+        table = F.broadcast(spark.createDataFrame([(x,) for x in again], "_clash bigint"))
+        slim, classes = (t.join(table, t.set_id == table._clash, "left").withColumn("set_id", F.when(F.col("_clash").isNotNull(), apart("set_id", "check")).otherwise(F.col("set_id"))).drop("_clash") for t in (slim, classes))
+
+    total = slim.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ranges = max(partitions(spark), -(-total // RANGE))
+    counted = base.select("_text").mapInArrow(_counts(n, ranges, digest_bits, clashes), BLOCKS)
+    frequencies = written(counted.repartitionById(ranges, F.col("part")).mapInArrow(_summed, BLOCKS), "frequencies")
+    packed = base.select("_text").mapInArrow(_ranges(n, ranges, digest_bits, clashes), BLOCKS).unionByName(frequencies)
+    often = packed.repartitionById(ranges, F.col("part")).sortWithinPartitions("kind").mapInArrow(_looked_up, "set_id bigint, shingle bigint, df bigint")
     least = F.floor((F.col("n") * percent + 99) / 100).cast("int")
-    sets = often.groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s")).join(classes.select("set_id", "n", "copies"), "set_id")
+    # a class may come from several runs
+    sets = often.groupBy("set_id").agg(F.sort_array(F.collect_set(F.struct("df", "shingle"))).alias("s")).join(classes.select("set_id", "n", "copies"), "set_id")
     sets = written(sets.where(F.size("s") >= least).select("set_id", "n", "copies", F.col("s.shingle").alias("shingles"), F.col("s.df").alias("dfs")), "candidates")
+    dropped(frequencies)
 
-    postings = sets.select("set_id", F.explode(F.slice("shingles", 1, F.size("shingles") - least + 1)).alias("shingle"))
+    postings = sets.select("set_id", F.posexplode(F.slice("shingles", 1, F.size("shingles") - least + 1)).alias("place", "shingle"))
     pivots = postings.groupBy("shingle").agg(F.min("set_id").alias("pivot"), F.count("*").alias("c")).where("c > 1").select("shingle", "pivot")
-    buckets = components(postings.join(pivots, "shingle").select(F.col("set_id").alias("u"), F.col("pivot").alias("v")))
+    named = postings.join(pivots, "shingle", "left").groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("place", "pivot"))).alias("p"))
+    meeting = sets.join(named.select("set_id", F.col("p.pivot").alias("pivots")), "set_id").where(F.exists("pivots", lambda p: p.isNotNull()))
+    meeting = written(meeting, "prefixes")
+    dropped(sets)
+    buckets = meeting.select("set_id", "n", F.size("shingles").alias("m"), F.explode(F.array_distinct(F.array_compact("pivots"))).alias("bucket"))
 
     wide = 1.0000001 * np.log(100 / percent) if percent < 100 else 1e-9
-    member = sets.select("set_id", "n", F.size("shingles").alias("m")).join(buckets.select(F.col("node").alias("set_id"), F.col("root").alias("bucket")), "set_id").withColumn("cls", F.floor(F.log("n") / float(wide)))
+    member = buckets.withColumn("cls", F.floor(F.log("n") / float(wide)))
     counts = member.groupBy("bucket", "cls").agg(F.count("*").alias("c"), F.sum("m").alias("t")).select("bucket", "cls", "c", F.ceil(F.greatest(F.col("c") / BLOCK_MEMBERS, F.col("t") / BLOCK_SHINGLES)).cast("int").alias("nb"))
     counts = written(counts, "blocks")
     up = counts.select("bucket", (F.col("cls") - 1).alias("cls"), F.col("nb").alias("up"))
@@ -310,7 +399,7 @@ def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "
             keys(F.coalesce("down", zero), lambda j: key(cls - 1, j, cls, b, F.lit(1))),
         )).alias("k"),
     ).select("set_id", "bucket", "k.*")
-    links = written(dealt.join(sets, "set_id").groupBy("bucket", "lc", "lb", "hc", "hb").applyInArrow(_block(percent), "set_id bigint, root bigint, links bigint"), "links")
+    links = written(dealt.join(meeting, "set_id").groupBy("bucket", "lc", "lb", "hc", "hb").applyInArrow(_block(percent), "set_id bigint, root bigint, links bigint"), "links")
     found = components(links.select(F.col("set_id").alias("u"), F.col("root").alias("v")))
     roots = found.join(classes.select(F.col("set_id").alias("node"), "least_id"), "node")
     named = roots.join(roots.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select(F.col("node").alias("set_id"), "component_id")
