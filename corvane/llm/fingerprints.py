@@ -1,14 +1,19 @@
 """Document fingerprints by invertible Bloom lookup sketches, in DataFrame operations only.
 
 A text's paragraphs are digested to 48 bits with 16 bits of check, and each digest goes to one
-cell of each of three subtables; a cell keeps a count and the digests' exclusive or. Two
-sketches subtract cell by cell (the small sketch is the large one folded), common digests cancel, and peeling recovers the differing
-ones: a cell of count 1 or -1 whose check fits holds one digest, which leaves its other cells.
-Where peeling does not end with empty cells, the next larger sketch is taken; past the largest, the sorted digests themselves, a sketch of a cell each, are compared.
-Likeness is the Jaccard similarity that the number of differing digests gives.
-
-What is a paragraph depends on the text's length, so that short texts have some too: lines
-and sentences, below ``WORDS`` characters words, and below ``LETTERS`` characters pairs of them.
+cell of each of three subtables; a cell keeps a count and the digests' exclusive or. The
+fingerprint is the sketch of ``CELLS`` cells. Two sketches subtract cell by cell, common digests
+cancel, and peeling recovers the differing ones: a cell of count 1 or -1 whose check fits holds
+one digest, which leaves its other cells. Where cells are left, the retry is larger: the digests
+are halved by a bit of another hash, each half has a sketch of ``CELLS`` cells, and what fails
+again is halved again, so that the whole sketch doubles only where it has to. Digests are only
+compared directly in parts that still fail at a depth of ``DEPTH``, for which some two to the
+power of that many digests must differ. Likeness is the Jaccard similarity that the number of
+differing digests gives.
+
+What is a paragraph depends on the text, so that short ones have some too: lines and sentences,
+or words if these are too few for the text's length, or pairs of letters if words are too few.
+Two texts are compared by the longer paragraphs of the two, so likeness has no direction.
 """
 
 from __future__ import annotations
@@ -18,29 +23,42 @@ from pyspark.sql import functions as F
 
 from .shared import partitions
 
-#: Cells of a fingerprint, and of the sketches for a retry.
-SIZES = (24, 48)
-WORDS, LETTERS = 400, 48
+#: Cells of a fingerprint and of each part of a larger sketch, a multiple of three, and how often a part may be halved.
+CELLS, DEPTH = 24, 24
+#: Sentences need texts of so many characters and words of so many; paragraphs need to be so many at least, of so many characters each at most, on average.
+WORDS, LETTERS, LEAST, SENTENCE, WORD = 400, 48, 4, 400, 24
 #: Ends of sentences: ASCII, Chinese and Japanese, Devanagari, Arabic, Ethiopic, Burmese.
 MARKS = r"[.!?|\n\u3002\uFF01\uFF1F\uFF0E\u0964\u0965\u061F\u06D4\u1362\u104A\u104B]+\s*"
 ROUNDS = 10
+#: Differing digests that a part of the first larger sketch is to have, and the depth at which that sketch may be at most.
+LOAD, FIRST = 8, 16
 #: Groups of consecutive ids for each shuffle partition.
 SPREAD = 4
 
 
-def level(n_chars: Column) -> Column:
-    return F.when(n_chars < LETTERS, 0).when(n_chars < WORDS, 1).otherwise(2)
+def sentences(text: Column) -> Column:
+    return F.split(text, MARKS)
 
 
-def digests(text: Column, lvl: Column) -> Column:
+def level(text: Column, cut: Column | None = None) -> Column:
+    """0 for pairs of letters, 1 for words, 2 for lines and sentences. cut: the sentences, if they are there already."""
+    n = F.length(text)
+
+    def enough(parts: Column, longest: int) -> Column:
+        return let(F.size(parts), lambda k: (k >= LEAST) & (k * longest >= n))
+
+    return F.when((n >= WORDS) & enough(sentences(text) if cut is None else cut, SENTENCE), 2).when((n >= LETTERS) & enough(F.split(text, r"\s+"), WORD), 1).otherwise(0)
+
+
+def digests(text: Column, lvl: Column, cut: Column | None = None) -> Column:
     """The distinct paragraph digests of a text."""
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2)))
-    parts = F.when(lvl == 0, pairs).when(lvl == 1, F.split(text, r"\s+")).otherwise(F.split(text, MARKS))
+    parts = F.when(lvl == 0, pairs).when(lvl == 1, F.split(text, r"\s+")).otherwise(sentences(text) if cut is None else cut)
     return F.array_distinct(F.transform(F.filter(parts, lambda p: p != ""), lambda p: _key(F.xxhash64(p))))
 
 
-def _cell(key: Column, table: int, size: int) -> Column:
-    third = size // 3
+def _cell(key: Column, table: int) -> Column:
+    third = CELLS // 3
     return (F.pmod(F.shiftright(key, 16 + 16 * table), F.lit(third).cast("bigint")) + F.lit(third * table)).cast("int")
 
 
@@ -55,54 +73,48 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def sketch(keys: Column, size: int) -> Column:
-    """array<struct<c, k>>: count and keys of each cell."""
-    third = size // 3
-    rows = F.transform(keys, lambda k: F.struct(k.alias("k"), *[_cell(k, t, size).alias(f"i{t}") for t in range(3)]))
+def _signed(keys: Column, sign: int) -> Column:
+    """Keys with a sign and a hash of 32 bits, by which parts are made."""
+    return F.transform(keys, lambda k: F.struct(F.hash(k).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")).alias("h"), k.alias("k"), F.lit(sign).alias("s")))
+
+
+def sketch(signed: Column) -> Column:
+    """array<struct<c, k>>: the sum of signs and the keys of each cell. With the keys of two texts and unlike signs it is the difference of their sketches."""
+    third = CELLS // 3
+    rows = F.transform(signed, lambda r: F.struct(r["k"].alias("k"), r["s"].alias("s"), *[_cell(r["k"], t).alias(f"i{t}") for t in range(3)]))
 
     def cell(own):
-        return F.struct(F.size(own).alias("c"), F.aggregate(own, F.lit(0).cast("bigint"), lambda s, r: s.bitwiseXOR(r["k"])).alias("k"))
+        empty = F.struct(F.lit(0).alias("c"), F.lit(0).cast("bigint").alias("k"))
+        return F.aggregate(own, empty, lambda s, r: F.struct((s["c"] + r["s"]).alias("c"), s["k"].bitwiseXOR(r["k"]).alias("k")))
 
     def table(rows, t):
-        return F.transform(F.sequence(F.lit(third * t), F.lit(third * t + third - 1)), lambda i: let(F.filter(rows, lambda r: r[f"i{t}"] == i), cell))
+        return F.transform(F.sequence(F.lit(third * t), F.lit(third * t + third - 1)), lambda i: cell(F.filter(rows, lambda r: r[f"i{t}"] == i)))
 
     return let(rows, lambda rows: F.concat(*[table(rows, t) for t in range(3)]))
 
 
-def _join(a: Column, b: Column, sign: int) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["c"] + sign * y["c"]).alias("c"), x["k"].bitwiseXOR(y["k"]).alias("k")))
-
-
-def fold(cells: Column, size: int, to: int) -> Column:
-    """The sketch of ``to`` cells that a sketch of ``size`` cells, a multiple, holds."""
-    third, part = size // 3, to // 3
-    tables = []
-    for t in range(3):
-        out = F.slice(cells, third * t + 1, part)
-        for q in range(1, size // to):
-            out = _join(out, F.slice(cells, third * t + q * part + 1, part), 1)
-        tables.append(out)
-    return F.concat(*tables)
-
-
 def subtract(a: Column, b: Column) -> Column:
-    return _join(a, b, -1)
+    return F.zip_with(a, b, lambda x, y: F.struct((x["c"] - y["c"]).alias("c"), x["k"].bitwiseXOR(y["k"]).alias("k")))
 
 
-def peel(cells: Column, size: int) -> Column:
+def peel(cells: Column) -> Column:
     """struct<cells, found, go>: what peeling leaves, and the differing keys with their sign."""
+    third = CELLS // 3
     start = F.struct(cells.alias("cells"), F.array().cast("array<struct<c:int,k:bigint>>").alias("found"), F.lit(True).alias("go"))
 
-    def less(placed):
-        def one(x, i):
-            here = F.filter(placed, lambda p: (p["i0"] == i) | (p["i1"] == i) | (p["i2"] == i))
-            return F.aggregate(here, x, lambda a, p: F.struct((a["c"] - p["p"]["c"]).alias("c"), a["k"].bitwiseXOR(p["p"]["k"]).alias("k")))
+    def less(cells, placed):
+        def one(t):
+            def of(x, i):
+                here = F.filter(placed, lambda p: p[f"i{t}"] == i + third * t)
+                return F.aggregate(here, x, lambda a, p: F.struct((a["c"] - p["p"]["c"]).alias("c"), a["k"].bitwiseXOR(p["p"]["k"]).alias("k")))
 
-        return one
+            return F.transform(F.slice(cells, third * t + 1, third), of)
+
+        return F.concat(*[one(t) for t in range(3)])
 
     def after(s, pure):
-        placed = F.transform(pure, lambda p: F.struct(p.alias("p"), *[_cell(p["k"], t, size).alias(f"i{t}") for t in range(3)]))
-        cells = F.when(F.size(pure) > 0, let(placed, lambda q: F.transform(s["cells"], less(q)))).otherwise(s["cells"])
+        placed = F.transform(pure, lambda p: F.struct(p.alias("p"), *[_cell(p["k"], t).alias(f"i{t}") for t in range(3)]))
+        cells = F.when(F.size(pure) > 0, let(placed, lambda q: less(s["cells"], q))).otherwise(s["cells"])
         return F.struct(cells.alias("cells"), F.concat(s["found"], pure).alias("found"), (F.size(pure) > 0).alias("go"))
 
     def turn(s, _):
@@ -112,19 +124,67 @@ def peel(cells: Column, size: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn)
 
 
-def _differing(cells: Column, size: int) -> Column:
+def _differing(cells: Column) -> Column:
     """The number of differing digests, or null if peeling did not end."""
-    return let(peel(cells, size), lambda s: F.when(~F.exists(s["cells"], lambda x: (x["c"] != 0) | (x["k"] != 0)), F.size(s["found"])))
+    return let(peel(cells), lambda s: F.when(~F.exists(s["cells"], lambda x: (x["c"] != 0) | (x["k"] != 0)), F.size(s["found"])))
+
 
+def differing(a: Column, b: Column, cells: Column) -> Column:
+    """struct<d, cells, ...>: how many digests differ, and the cells of the sketches that said so.
 
-def likeness(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
-    """From the digests of two texts and their sketches of the largest size. Two texts without a paragraph are alike."""
-    na, nb = F.size(a), F.size(b)
-    apart, most = F.abs(na - nb), SIZES[-1]
-    less = subtract(sketch_a, sketch_b)
-    tries = [F.when(apart <= s, _differing(less if s == most else let(less, lambda x: fold(x, most, SIZES[0])), s)) for s in SIZES]
-    d = F.coalesce(*tries, F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)))
-    return let(d, lambda x: F.when(na + nb == 0, 1.0).otherwise((na + nb - x).cast("double") / (na + nb + x)))
+    cells: the difference of the two sketches. If it can't be peeled, the parts of a first larger
+    sketch are as many as the sum of its squared counts asks for, which estimates the difference.
+    A part of depth i is the digests whose hash has its number as the highest i bits.
+    """
+    none = F.array().cast("array<bigint>")
+    shifted = lambda x, by: F.call_function("shiftright", x, by)
+
+    def larger(rows, squares):
+        apart = F.abs(F.size(a) - F.size(b)).cast("double")
+        # of counts that are sums of d signs with the total ``apart``, spread over a table's cells
+        third = CELLS // 3
+        guess = (squares / 3.0 - apart * apart / third) * (third / (third - 1))
+        depth = F.least(F.greatest(F.ceil(F.log2(F.least(F.greatest(apart, guess), (F.size(a) + F.size(b)).cast("double")) / LOAD)).cast("int"), F.lit(1)), F.lit(FIRST))
+
+        def turn(s, _):
+            def attempt(hashes, p):
+                def counted(own):
+                    x, y = (F.transform(F.filter(own, lambda r: r["s"] == sign), lambda r: r["k"]) for sign in (1, -1))
+                    direct = F.size(F.array_except(x, y)) + F.size(F.array_except(y, x))
+                    return F.when(F.size(own) == 0, 0).when(s["depth"] < DEPTH, _differing(sketch(own))).otherwise(direct)
+
+                many = F.size(hashes) - F.size(F.array_remove(hashes, p))
+                own = F.when(many == 0, F.slice(rows, 1, 0)).otherwise(F.slice(rows, F.array_position(hashes, p).cast("int"), many))
+                return F.struct(p.alias("p"), let(own, counted).alias("d"))
+
+            def after(tried):
+                failed = F.filter(tried, lambda t: t["d"].isNull())
+                return F.struct(
+                    F.aggregate(tried, s["d"], lambda n, t: n + F.coalesce(t["d"], F.lit(0))).alias("d"),
+                    (s["cells"] + CELLS * (F.size(tried) - F.size(failed))).alias("cells"),
+                    (s["depth"] + 1).alias("depth"),
+                    F.flatten(F.transform(failed, lambda t: F.array(t["p"] * 2, t["p"] * 2 + 1))).alias("pending"),
+                )
+
+            hashes = F.transform(rows, lambda r: shifted(r["h"], 32 - s["depth"]))
+            return F.when(F.size(s["pending"]) == 0, s).otherwise(let(let(hashes, lambda h: F.transform(s["pending"], lambda p: attempt(h, p))), after))
+
+        start = let(depth, lambda i: F.struct(F.lit(0).alias("d"), F.lit(0).alias("cells"), i.alias("depth"), F.sequence(F.lit(0).cast("bigint"), F.call_function("shiftleft", F.lit(1).cast("bigint"), i) - 1).alias("pending")))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), start, turn)
+
+    def tried(first):
+        squares = F.aggregate(cells, F.lit(0).cast("bigint"), lambda n, x: n + x["c"] * x["c"])
+        done = F.struct(first.alias("d"), F.lit(CELLS).alias("cells"), F.lit(0).alias("depth"), none.alias("pending"))
+        rows = F.array_sort(F.concat(_signed(a, 1), _signed(b, -1)))
+        return F.when(first.isNotNull(), done).otherwise(let(rows, lambda rows: larger(rows, squares)))
+
+    return let(F.when(F.abs(F.size(a) - F.size(b)) <= CELLS, _differing(cells)), tried)
+
+
+def likeness(a: Column, b: Column, d: Column) -> Column:
+    """From the digests of two texts and how many differ. Two texts without a paragraph are alike."""
+    n = F.size(a) + F.size(b)
+    return F.when(n == 0, 1.0).otherwise((n - d).cast("double") / (n + d))
 
 
 def _text(cells: Column, lvl: Column) -> Column:
@@ -133,8 +193,7 @@ def _text(cells: Column, lvl: Column) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    lvl = level(F.length(text))
-    return _text(fold(sketch(digests(text, lvl), SIZES[-1]), SIZES[-1], SIZES[0]), lvl)
+    return let(level(text), lambda lvl: _text(sketch(_signed(digests(text, lvl), 1)), lvl))
 
 
 def _blocks(docs: DataFrame, id_col: str, n: int) -> Column:
@@ -150,8 +209,15 @@ def _blocks(docs: DataFrame, id_col: str, n: int) -> Column:
     return coarse + F.size(F.filter(F.slice(every, coarse + 1, step), lambda b: b <= F.col("id")))
 
 
+def _own(rows: DataFrame, text: str, lvl: str, found: str) -> DataFrame:
+    """Adds the level and the digests of a text; the text is cut into sentences once."""
+    rows = rows.withColumn("_cut", F.when(F.length(text) >= WORDS, sentences(F.col(text))))
+    rows = rows.withColumn(lvl, level(F.col(text), F.col("_cut")))
+    return rows.withColumn(found, digests(F.col(text), F.col(lvl), F.col("_cut"))).drop("_cut")
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text (null: empty) and the next document's text in ascending order of id; after the last comes the first.
+    """id, text (null: empty) with its level and digests, and those of the next document in ascending order of id; after the last comes the first.
 
     Rows of one id are in the order of their texts, null ids come first. The order is found
     within groups of consecutive ids; only each group's first row meets the group before it.
@@ -159,12 +225,15 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     n = max(2, SPREAD * partitions(docs.sparkSession))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("block", _blocks(docs, id_col, n).cast("int") if n > 1 else F.lit(0))
+    rows = _own(rows, "text", "l_text", "d_text").withColumn("_own", F.struct("text", "l_text", "d_text"))
     order = Window.partitionBy("block").orderBy(F.col("id").asc_nulls_first(), "text")
-    firsts = rows.groupBy("block").agg(F.min(F.struct("id", "text")).alias("first"))
-    last = firsts.agg(F.max("block").alias("b")).first().b or 0
-    firsts = firsts.select(F.pmod(F.col("block") - 1, F.lit(last + 1)).alias("block"), F.col("first.text").alias("_first"))
-    led = rows.withColumn("_lead", F.lead("text").over(order))
-    return led.join(firsts, "block", "left").select("id", "text", F.coalesce("_lead", "_first", "text").alias("next"))
+    firsts = rows.groupBy("block").agg(F.min(F.struct("id", "_own")).alias("first"))
+    last = rows.agg(F.max("block").alias("b")).first().b or 0
+    firsts = firsts.select(F.pmod(F.col("block") - 1, F.lit(last + 1)).alias("block"), F.col("first._own").alias("_first"))
+    led = rows.withColumn("_lead", F.lead("_own").over(order))
+    after = F.coalesce("_lead", "_first", "_own")
+    rows = led.join(firsts, "block", "left").select("id", "text", "l_text", "d_text", after.alias("_next"))
+    return rows.select("id", "text", "l_text", "d_text", F.col("_next.text").alias("next"), F.col("_next.l_text").alias("l_next"), F.col("_next.d_text").alias("d_next"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,26 +241,32 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Returns one row per input row: the id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited and near_next (likeness of the text to the edited text and to
-    the next document, 0 to 1). Null is an empty text; a single row is its own next; equal texts
-    have equal fingerprints; other columns are ignored; an empty table gives an empty one.
+    the next document, 0 to 1), edited_cells and next_cells (cells of the sketches that peeling
+    emptied for these). Ids are numbers. Null is an empty text; a single row is its own next; equal
+    texts have equal fingerprints; other columns are ignored; an empty table gives an empty one.
     """
     rows = with_next(docs, id_col, text_col)
     n = F.length("text")
     rows = rows.withColumn("n", n).withColumn("q", F.floor(n / 4).cast("int"))
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n") - F.col("q")), F.substring("next", F.lit(1), F.col("q"))))
-    rows = rows.withColumn("lvl", level(F.col("n"))).withColumn("elvl", level(F.length("edited")))
-    for name in ("text", "edited", "next"):
-        rows = rows.withColumn(f"d_{name}", digests(F.col(name), F.col("lvl")))
-    rows = rows.select("id", "n", "lvl", "elvl", F.sha2("edited", 256).alias("edited_sha256"), F.when(F.col("lvl") != F.col("elvl"), F.col("edited")).alias("edited"), "d_text", "d_edited", "d_next")
-    for name in ("text", "edited"):
-        rows = rows.withColumn(f"s_{name}", sketch(F.col(f"d_{name}"), SIZES[-1]))
-    rows = rows.withColumn("s_next", F.when(F.abs(F.size("d_text") - F.size("d_next")) <= SIZES[-1], sketch(F.col("d_next"), SIZES[-1])))
-    for name in ("text", "edited"):
-        rows = rows.withColumn(f"f_{name}", fold(F.col(f"s_{name}"), SIZES[-1], SIZES[0]))
-    own = F.when(F.col("edited").isNull(), _text(F.col("f_edited"), F.col("lvl"))).otherwise(fingerprint(F.col("edited")))
+    rows = _own(rows, "edited", "l_edited", "d_edited")
+    # at the longer paragraphs of the two, which are mostly the text's own
+    for other in ("edited", "next"):
+        rows = rows.withColumn(f"m_{other}", F.greatest("l_text", f"l_{other}"))
+        common = F.col(f"m_{other}")
+        rows = rows.withColumn(f"a_{other}", F.when(common == F.col("l_text"), F.col("d_text")).otherwise(digests(F.col("text"), common)))
+        rows = rows.withColumn(f"b_{other}", F.when(common == F.col(f"l_{other}"), F.col(f"d_{other}")).otherwise(digests(F.col(other), common)))
+    rows = rows.select("id", "n", F.sha2("edited", 256).alias("edited_sha256"), *[f"{p}_{name}" for p in "ld" for name in ("text", "edited")], *[f"{p}_{name}" for p in "mab" for name in ("edited", "next")])
+    # one expression for all sketches and one for both comparisons: it is large, and planned once so
+    sketched = F.array("d_text", "d_edited", *[F.when((F.col(f"m_{o}") != F.col("l_text")), F.col(f"a_{o}")) for o in ("edited", "next")], F.when(F.col("m_edited") != F.col("l_edited"), F.col("b_edited")), F.col("b_next"))
+    rows = rows.withColumn("_s", F.transform(sketched, lambda d: sketch(_signed(d, 1))))
+    s_text, s_edited, a_edited, a_next, b_edited, b_next = (F.get("_s", F.lit(i)) for i in range(6))
+    pairs = [("edited", F.coalesce(a_edited, s_text), F.coalesce(b_edited, s_edited)), ("next", F.coalesce(a_next, s_text), b_next)]
+    rows = rows.withColumn("_p", F.array(*[F.struct(F.col(f"a_{o}").alias("a"), F.col(f"b_{o}").alias("b"), subtract(x, y).alias("c")) for o, x, y in pairs]))
+    compared = F.transform("_p", lambda p: let(differing(p["a"], p["b"], p["c"]), lambda x: F.struct(likeness(p["a"], p["b"], x["d"]).alias("near"), x["cells"].alias("cells"))))
+    rows = rows.withColumn("_x", compared)
     return rows.select(
         F.col("id").alias(id_col), F.col("n").cast("bigint").alias("n_chars"), "edited_sha256",
-        _text(F.col("f_text"), F.col("lvl")).alias("fingerprint"), own.alias("edited_fingerprint"),
-        likeness(F.col("d_text"), F.col("d_edited"), F.col("s_text"), F.col("s_edited")).alias("near_edited"),
-        likeness(F.col("d_text"), F.col("d_next"), F.col("s_text"), F.col("s_next")).alias("near_next"),
+        _text(s_text, F.col("l_text")).alias("fingerprint"), _text(s_edited, F.col("l_edited")).alias("edited_fingerprint"),
+        *[F.get("_x", F.lit(i))[field].alias(f"{prefix}{other}{suffix}") for field, prefix, suffix in (("near", "near_", ""), ("cells", "", "_cells")) for i, other in enumerate(("edited", "next"))],
     )

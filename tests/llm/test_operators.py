@@ -260,26 +260,54 @@ def test_line_dedup_short_masked_and_fields(spark):
 
 
 def test_fingerprints(spark, docs, empty):
+    cuts = (None, r"\s+", r"[.!?|\n\u3002\uFF01\uFF1F\uFF0E\u0964\u0965\u061F\u06D4\u1362\u104A\u104B]+\s*")
+
+    def level(t):  # the longest paragraphs that are not too few
+        for lvl, least, longest in ((2, fingerprints.WORDS, fingerprints.SENTENCE), (1, fingerprints.LETTERS, fingerprints.WORD)):
+            k = len(re.split(cuts[lvl], t))
+            if len(t) >= least and k >= fingerprints.LEAST and k * longest >= len(t):
+                return lvl
+        return 0
+
     def units(t, lvl):
-        parts = [t[i : i + 2] for i in range(max(len(t) - 1, 1))] if lvl == 0 else re.split(r"\s+", t) if lvl == 1 else re.split(r"[.!?|\n]+\s*", t)
+        parts = re.split(cuts[lvl], t) if lvl else [t[i : i + 2] for i in range(max(len(t) - 1, 1))]
         return {p for p in parts if p}
 
-    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    def near(a, b):
+        lvl = max(level(a), level(b))
+        x, y = units(a, lvl), units(b, lvl)
+        return round(len(x & y) / len(x | y), 9) if x | y else 1.0
+
     rows = sorted(((i, t or "") for i, t in corpus()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     expected = []
     for k, (i, t) in enumerate(rows):
         after, q = rows[(k + 1) % len(rows)][1], len(t) // 4
-        e, lvl = t[: len(t) - q] + after[:q], 0 if len(t) < fingerprints.LETTERS else 1 if len(t) < fingerprints.WORDS else 2
-        a, b, c = (units(x, lvl) for x in (t, e, after))
-        expected.append((str(i), len(t), hashlib.sha256(e.encode()).hexdigest(), round(jaccard(a, b), 9), round(jaccard(a, c), 9)))
+        e = t[: len(t) - q] + after[:q]
+        expected.append((str(i), len(t), hashlib.sha256(e.encode()).hexdigest(), near(t, e), near(t, after)))
     got = fingerprints.fingerprints(docs).collect()
     assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == sorted(expected)
     by = {r.doc_id: r for r in got}
     assert by[1].fingerprint == by[2].fingerprint != by[3].fingerprint
+    assert max(r.next_cells for r in got) > 10 * fingerprints.CELLS
     assert fingerprints.fingerprints(empty).count() == 0
     assert "Python" not in fingerprints.fingerprints(docs)._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("depth", [24, 2])
+def test_sketches_find_every_difference(spark, monkeypatch, depth):
+    monkeypatch.setattr(fingerprints, "DEPTH", depth)
+    monkeypatch.setattr(fingerprints, "FIRST", min(depth, 16))
+    rng = np.random.default_rng(8)
+    rows = []
+    for n, m, c in [(0, 0, 0), (0, 1, 0), (1, 0, 3), (5, 5, 200), (9, 30, 0), (60, 60, 500), (0, 400, 10), (300, 300, 0), (700, 1, 300)]:
+        x = [f"p{v}" for v in rng.choice(10**6, n + m + c, replace=False)]
+        rows.append((x[: n + c], x[n:], n + m))
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>, d int").select("d", *[F.transform(k, lambda p: fingerprints._key(F.xxhash64(p))).alias(k) for k in "ab"])
+    for a, b in ("ab", "ba"):
+        cells = fingerprints.subtract(*[fingerprints.sketch(fingerprints._signed(F.col(k), 1)) for k in (a, b)])
+        assert all(r.d == r.got for r in df.select("d", fingerprints.differing(F.col(a), F.col(b), cells)["d"].alias("got")).collect())
+
+
 def test_shared_tables(spark):
     t = shared.written(spark.range(3), "t")
     assert t.count() == 3
