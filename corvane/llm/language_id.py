@@ -110,9 +110,12 @@ def _sample(rows: DataFrame, most: int) -> list[tuple[str, str, float]]:
 
 
 def language_id(
-    df: DataFrame, text_col: str = "text", declared: Column | None = None, suffix: Column | None = None, host: Column | None = None, sample_rows: int = 2000, text_weight: float = 0.3, declared_right: float = 0.9, suffix_right: float = 0.8, smoothing: float = 20.0, und_prior: float = 0.01
+    df: DataFrame, text_col: str = "text", declared: Column | None = None, suffix: Column | None = None, host: Column | None = None, sample_rows: int = 2000, text_weight: float = 0.3, declared_right: float = 0.9, suffix_right: float = 0.8, smoothing: float = 20.0, und_prior: float = 0.01, keep: tuple[str, ...] | None = None
 ) -> DataFrame:
-    """Returns all columns of the input and language, confidence, text_language and rejected.
+    """Returns the columns in ``keep`` (all of the input if None) and language, confidence, text_language and rejected.
+
+    Texts are scored once: the scores are written beside the kept columns, of which the text is
+    one only if it is to be returned, and both the host counts and the result come from there.
 
     language is the class of the largest posterior, or null where the text has no letter (also
     null and empty texts) or ``und`` wins: those rows are rejected, whatever else says. Letters
@@ -123,7 +126,7 @@ def language_id(
     """
     bounded_batches(df.sparkSession)
     own = ("language", "confidence", "text_language", "rejected")
-    names = [c for c in df.columns if c not in own or c == text_col]
+    names = [c for c in (df.columns if keep is None else dict.fromkeys(keep)) if c not in own or c == text_col]
     null = F.lit(None).cast("string")
     src = df.select(
         *[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)], F.col(text_col).alias("_text"), (null if declared is None else _primary(declared)).alias("_declared"),
@@ -146,9 +149,9 @@ def language_id(
             out = F.when(s == best, F.lit(lang)).otherwise(out)
         return F.when(F.col("_n") > 0, out)
 
-    base = scored(src, [f"_c{i}" for i in range(len(names))] + ["_declared", "_suffix", "_host"])
+    base = written(scored(src, [f"_c{i}" for i in range(len(names))] + ["_declared", "_suffix", "_host"]), "scores")
     text_says = says([F.get("_scores", F.lit(i)) for i in range(len(langs))])
-    counts = scored(src, ["_suffix", "_host"]).select("_host", F.coalesce("_suffix", F.lit("")).alias("_suffix"), text_says.alias("l")).groupBy("_host", "_suffix", "l").count()
+    counts = base.select("_host", F.coalesce("_suffix", F.lit("")).alias("_suffix"), text_says.alias("l")).groupBy("_host", "_suffix", "l").count()
     counts = counts.groupBy("_host", "_suffix").agg(*[F.sum(F.when(F.col("l") == x, F.col("count")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(known)]) if known else None
     if known:
         counts = written(counts, "hosts")

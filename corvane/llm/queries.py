@@ -58,12 +58,17 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return language_id(docs, declared=F.col("lang"), host=F.col("source")).select("doc_id", "language", F.round("confidence", 4).alias("confidence"), "rejected")
+    out = language_id(docs, declared=F.col("lang"), host=F.col("source"), keep=("doc_id",))
+    return out.select("doc_id", "language", F.round("confidence", 4).alias("confidence"), "rejected")
 
 
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of pages by their main text, their markup's declaration, their address and host."""
     pages = _table(spark, sf_dir, "pages")
-    return language_id(pages, text_col="html", **page_evidence(F.col("url"), F.col("html"))).select("page_id", "language", F.round("confidence", 4).alias("confidence"), "rejected")
+    evidence = page_evidence(F.col("url"), F.col("html"))
+    texts = html_extract(pages.withColumns({f"_{k}": v for k, v in evidence.items()}), keep=tuple(f"_{k}" for k in evidence))
+    out = language_id(texts, **{k: F.col(f"_{k}") for k in evidence}, keep=("page_id",))
+    return out.select("page_id", "language", F.round("confidence", 4).alias("confidence"), "rejected")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +136,11 @@ FROM d LEFT JOIN hits ON hits.doc_id = d.doc_id LEFT JOIN items ON items.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    import corpus_pipeline
-
     out = {"op3_substring_dedup": OP3, "op4_jaccard_join": OP4, "op5_decontaminate": OP5}
+    try:
+        import corpus_pipeline
+    except ModuleNotFoundError as e:  # it lies beside the package, which may be used without it
+        if e.name != "corpus_pipeline":
+            raise
+        return out
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
