@@ -4,8 +4,9 @@ Documents are tokenised once and cut into pieces; a histogram of piece lengths (
 ``capacity`` rows, whatever the corpus) comes to the driver, where best-fit decreasing runs
 over counts: equal sequences are one group, and a group takes as many pieces of a length at
 once as fit. The plan gives, per length, ranges of ranks and the sequences and offsets that
-they take. Pieces get their rank within their length from a salted row number, so that no
-length, however common, is one task, and join the plan.
+they take. Pieces get their rank within their length from a salted row number, with as many
+salts as the length's count asks for, so that no length, however common, is one task, and join
+the plan. Pieces that fill a sequence need no rank: each is one.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from . import words as W
 from .known import Known, gather, held
 from .shared import bounded_batches, written
 
-SALTS = 256
+#: Pieces of one length that are ranked in one sort, on average.
+SORTED = 50_000
 
 
 def _ids(path: str) -> Known:
@@ -114,17 +116,18 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
     id_type = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     pieces = written(base.mapInArrow(_pieces(tokenizer_path, end_id, capacity), f"_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint"), "pieces")
-    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("_id", "piece"), F.lit(SALTS)).cast("int"))
-    counts = pieces.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    histogram = {r.length: r.n for r in pieces.where(F.col("length") < capacity).groupBy("length").agg(F.count("*").alias("n")).collect()}
+    # both tables have a size that depends on the capacity alone
     slots = spark.createDataFrame(plan(histogram, capacity), "length bigint, _lo bigint, _hi bigint, _first bigint, _each bigint, _at bigint")
+    salts = spark.createDataFrame([(k, -(-n // SORTED)) for k, n in histogram.items()], "length bigint, _salts bigint")
+    rest = pieces.where(F.col("length") < capacity).join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("_id", "piece"), F.col("_salts")))
+    counts = rest.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_base", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).select("length", "_salt", "_base")
-    ranked = pieces.withColumn("_rn", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_id", "piece", "ids_crc32")))
+    ranked = rest.withColumn("_rn", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_id", "piece", "ids_crc32")))
     ranked = ranked.join(before, ["length", "_salt"]).withColumn("_rank", F.col("_base") + F.col("_rn") - 1)
-    # the plan's size depends on the capacity alone
     placed = ranked.join(F.broadcast(slots), (ranked.length == slots.length) & (ranked._rank >= slots._lo) & (ranked._rank < slots._hi)).drop(slots.length)
     k = F.col("_rank") - F.col("_lo")
-    return placed.select(
-        F.col("_id").alias(id_col), "piece", "start", "length", "ids_crc32",
-        (F.col("_first") + F.floor(k / F.col("_each"))).alias("sequence_id"), (F.col("_at") + F.pmod(k, F.col("_each")) * F.col("length")).alias("offset"),
-    )
+    named = [F.col("_id").alias(id_col), "piece", "start", "length", "ids_crc32"]
+    shared = placed.select(*named, (F.col("_first") + F.floor(k / F.col("_each"))).alias("sequence_id"), (F.col("_at") + F.pmod(k, F.col("_each")) * F.col("length")).alias("offset"))
+    full = pieces.where(F.col("length") == capacity)
+    return shared.unionByName(full.select(*named, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")))
