@@ -225,11 +225,12 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     n = max(2, SPREAD * partitions(docs.sparkSession))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("block", _blocks(docs, id_col, n).cast("int") if n > 1 else F.lit(0))
-    rows = _own(rows, "text", "l_text", "d_text").withColumn("_own", F.struct("text", "l_text", "d_text"))
     order = Window.partitionBy("block").orderBy(F.col("id").asc_nulls_first(), "text")
-    firsts = rows.groupBy("block").agg(F.min(F.struct("id", "_own")).alias("first"))
+    firsts = rows.groupBy("block").agg(F.min(F.struct("id", "text")).alias("first"))
     last = rows.agg(F.max("block").alias("b")).first().b or 0
-    firsts = firsts.select(F.pmod(F.col("block") - 1, F.lit(last + 1)).alias("block"), F.col("first._own").alias("_first"))
+    firsts = firsts.select(F.pmod(F.col("block") - 1, F.lit(last + 1)).alias("block"), F.col("first.text").alias("text"))
+    rows, firsts = (_own(x, "text", "l_text", "d_text").withColumn("_own", F.struct("text", "l_text", "d_text")) for x in (rows, firsts))
+    firsts = firsts.select("block", F.col("_own").alias("_first"))
     led = rows.withColumn("_lead", F.lead("_own").over(order))
     after = F.coalesce("_lead", "_first", "_own")
     rows = led.join(firsts, "block", "left").select("id", "text", "l_text", "d_text", after.alias("_next"))
