@@ -114,8 +114,9 @@ def language_id(
 ) -> DataFrame:
     """Returns the columns in ``keep`` (all of the input if None) and language, confidence, text_language and rejected.
 
-    Texts are scored once: the scores are written beside the kept columns, of which the text is
-    one only if it is to be returned, and both the host counts and the result come from there.
+    If the text is not to be returned, the scores are written beside the kept columns, and both
+    the host counts and the result come from there. If it is, texts are scored for the counts and
+    again for the result: writing all texts once more would cost more than that.
 
     language is the class of the largest posterior, or null where the text has no letter (also
     null and empty texts) or ``und`` wins: those rows are rejected, whatever else says. Letters
@@ -149,9 +150,11 @@ def language_id(
             out = F.when(s == best, F.lit(lang)).otherwise(out)
         return F.when(F.col("_n") > 0, out)
 
-    base = written(scored(src, [f"_c{i}" for i in range(len(names))] + ["_declared", "_suffix", "_host"]), "scores")
+    base = scored(src, [f"_c{i}" for i in range(len(names))] + ["_declared", "_suffix", "_host"])
+    if own_text is None:
+        base = written(base, "scores")
     text_says = says([F.get("_scores", F.lit(i)) for i in range(len(langs))])
-    counts = base.select("_host", F.coalesce("_suffix", F.lit("")).alias("_suffix"), text_says.alias("l")).groupBy("_host", "_suffix", "l").count()
+    counts = (scored(src, ["_suffix", "_host"]) if own_text else base).select("_host", F.coalesce("_suffix", F.lit("")).alias("_suffix"), text_says.alias("l")).groupBy("_host", "_suffix", "l").count()
     counts = counts.groupBy("_host", "_suffix").agg(*[F.sum(F.when(F.col("l") == x, F.col("count")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(known)]) if known else None
     if known:
         counts = written(counts, "hosts")

@@ -44,7 +44,7 @@ def near_copies(rng, groups, members, length=60, vocabulary=10_000):
     return rows
 
 
-@pytest.mark.parametrize("percent", [60, 85, 100])
+@pytest.mark.parametrize("percent", [60, 100])
 def test_blocks_and_buckets(spark, monkeypatch, percent):
     rng = np.random.default_rng(9)
     rows = near_copies(rng, 3, 40) + [(1000 + k, " ".join(f"v{x}" for x in rng.integers(6, size=40))) for k in range(60)]
