@@ -17,6 +17,7 @@ from .packing import best_fit_packing
 from .substring_dedup import substring_dedup
 from .shared import spread
 from .token_counts import token_counts
+from .vector_codes import vector_codes
 from .warc import read_archives, write_archives
 
 
@@ -83,6 +84,11 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vector_codes(_table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_line_dedup, op2_token_counts, op3_substring_dedup, op4_jaccard_join, op5_decontaminate, op6_warc, op7_language_id, op8_best_fit_packing, op9_fingerprints, op10_html_extract, language_id_pages, pipeline)
+    named = (op1_line_dedup, op2_token_counts, op3_substring_dedup, op4_jaccard_join, op5_decontaminate, op6_warc, op7_language_id, op8_best_fit_packing, op9_fingerprints, op10_html_extract, op11_vector_codes, language_id_pages, pipeline)
     return {f.__name__: f for f in named}
 
 
@@ -135,8 +141,29 @@ FROM d LEFT JOIN hits ON hits.doc_id = d.doc_id LEFT JOIN items ON items.doc_id
 """
 
 
+# A distance and an entry are one number, so the least is the nearest with ties to the lower index.
+_NEAREST = "SELECT p.part, p.vec_id, p.label, p.x, min(list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 16 + c.entry) AS m FROM p JOIN {book} c USING (part) GROUP BY ALL"
+_ROUND = """, a{k} AS MATERIALIZED (SELECT part, vec_id, x, m % 16 AS entry FROM ({nearest})),
+ m{k} AS (SELECT part, entry, list(v ORDER BY i) AS x FROM (SELECT part, entry, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS v FROM a{k}, range(1, len(x) + 1) t(i) GROUP BY ALL) GROUP BY ALL),
+ b{k} AS MATERIALIZED (SELECT part, entry, coalesce(m{k}.x, b{last}.x) AS x FROM b{last} LEFT JOIN m{k} USING (part, entry))"""
+OP11 = (
+    """
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ p AS MATERIALIZED (SELECT vec_id, label, part, q[part * len(q) // 8 + 1:(part + 1) * len(q) // 8] AS x FROM v, range(8) t(part)),
+ f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM (SELECT vec_id FROM v ORDER BY vec_id LIMIT 16)),
+ b0 AS MATERIALIZED (SELECT part, entry, x FROM p JOIN f USING (vec_id))"""
+    + "".join(_ROUND.format(k=k, last=k - 1, nearest=_NEAREST.format(book=f"b{k - 1}")) for k in range(1, 7))
+    + f""",
+ z AS (SELECT vec_id, label, string_agg(lpad(lower(to_hex(m % 16)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(m // 16) AS BIGINT) AS error FROM ({_NEAREST.format(book="b6")}) GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+ (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM b6) AS codebooks_sha256 FROM z
+"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    out = {"op3_substring_dedup": OP3, "op4_jaccard_join": OP4, "op5_decontaminate": OP5}
+    out = {"op3_substring_dedup": OP3, "op4_jaccard_join": OP4, "op5_decontaminate": OP5, "op11_vector_codes": OP11}
     try:
         import corpus_pipeline
     except ModuleNotFoundError as e:  # it lies beside the package, which may be used without it
