@@ -16,6 +16,7 @@ from .line_dedup import line_dedup
 from .packing import best_fit_packing
 from .substring_dedup import substring_dedup
 from .shared import spread
+from .spelling import spelling_variants
 from .token_counts import token_counts
 from .vector_codes import vector_codes
 from .warc import read_archives, write_archives
@@ -89,6 +90,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,7 +101,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_line_dedup, op2_token_counts, op3_substring_dedup, op4_jaccard_join, op5_decontaminate, op6_warc, op7_language_id, op8_best_fit_packing, op9_fingerprints, op10_html_extract, op11_vector_codes, language_id_pages, pipeline)
+    named = (op1_line_dedup, op2_token_counts, op3_substring_dedup, op4_jaccard_join, op5_decontaminate, op6_warc, op7_language_id, op8_best_fit_packing, op9_fingerprints, op10_html_extract, op11_vector_codes, op13_spelling_variants, language_id_pages, pipeline)
     return {f.__name__: f for f in named}
 
 
@@ -162,8 +167,31 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 )
 
 
+# The remainder of each half byte by the reflected polynomial 0xEDB88320 of crc32.
+_CRC = [0]
+for _k in range(1, 16):
+    _c = _k
+    for _ in range(4):
+        _c = _c >> 1 ^ (0xEDB88320 if _c & 1 else 0)
+    _CRC.append(_c)
+_CRC32 = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(2 * strlen(s)), lambda i: CAST(instr('0123456789ABCDEF', substring(x, CAST(i + 2 - 2 * (i % 2) AS INTEGER), 1)) - 1 AS BIGINT))), lambda a, b: xor(CAST({_CRC} AS BIGINT[])[1 + (xor(a, b) & 15)], a >> 4)), 4294967295)"
+OP13 = rf"""
+WITH RECURSIVE r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+ g AS (SELECT run, n, s, hex(encode(s)) AS x FROM (SELECT run, count(*) AS n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s FROM r GROUP BY doc_id, run)),
+ h AS (SELECT run, n, {_CRC32} AS h FROM g),
+ w AS MATERIALIZED (SELECT * FROM (SELECT CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY 1) WHERE length(word) >= 5 AND n >= 3),
+ v AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+ p AS (SELECT a.word, a.n, b.word AS near, b.n AS m FROM v a JOIN v b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT v.word, v.n, w.word, w.n FROM v JOIN w ON v.rest = w.word UNION SELECT w.word, w.n, v.word, v.n FROM v JOIN w ON v.rest = w.word),
+ b AS (SELECT word, count(*) AS n_near, first(near ORDER BY m DESC, near) AS form, max(m) AS m FROM p GROUP BY word),
+ f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * w.n THEN form END AS form, CASE WHEN m >= 2 * w.n THEN m END AS form_n FROM w LEFT JOIN b ON b.word = w.word),
+ c AS (SELECT word, coalesce(form, word) AS root FROM f UNION SELECT c.word, f.form FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.*, c.root FROM f JOIN c ON c.word = f.word JOIN f e ON e.word = c.root AND e.form IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    out = {"op3_substring_dedup": OP3, "op4_jaccard_join": OP4, "op5_decontaminate": OP5, "op11_vector_codes": OP11}
+    out = {"op3_substring_dedup": OP3, "op4_jaccard_join": OP4, "op5_decontaminate": OP5, "op11_vector_codes": OP11, "op13_spelling_variants": OP13}
     try:
         import corpus_pipeline
     except ModuleNotFoundError as e:  # it lies beside the package, which may be used without it
