@@ -13,6 +13,7 @@ from .html_extract import html_extract
 from .jaccard_join import jaccard_join
 from .language_id import language_id, page_evidence
 from .line_dedup import line_dedup
+from .lm_scoring import lm_scores
 from .packing import best_fit_packing
 from .substring_dedup import substring_dedup
 from .shared import spread
@@ -90,6 +91,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(_table(spark, sf_dir, "documents"))
 
@@ -101,7 +106,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_line_dedup, op2_token_counts, op3_substring_dedup, op4_jaccard_join, op5_decontaminate, op6_warc, op7_language_id, op8_best_fit_packing, op9_fingerprints, op10_html_extract, op11_vector_codes, op13_spelling_variants, language_id_pages, pipeline)
+    named = (op1_line_dedup, op2_token_counts, op3_substring_dedup, op4_jaccard_join, op5_decontaminate, op6_warc, op7_language_id, op8_best_fit_packing, op9_fingerprints, op10_html_extract, op11_vector_codes, op12_lm_scoring, op13_spelling_variants, language_id_pages, pipeline)
     return {f.__name__: f for f in named}
 
 
