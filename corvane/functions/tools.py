@@ -93,22 +93,70 @@ def tool_list(spark: SparkSession) -> list[str]:
     return sorted(f.name for f in spark.catalog.listFunctions() if f.isTemporary and f.name in ("calculator", "weather"))
 
 
-def model_call(client: Callable[[], Callable[[str], str]], tries: int = 5, first_wait: float = 1.0, retry_on: tuple = (Exception,)) -> Callable[[Column], Column]:
-    """A column function that sends each text to a client made once per batch, with exponential waits between tries."""
+class Pace:
+    """Keeps calls at least ``gap`` seconds apart, for all who share it."""
+
+    def __init__(self, gap: float):
+        self._gap, self._next = gap, 0.0
+
+    def wait(self) -> None:
+        now = time.monotonic()
+        begin = max(now, self._next)
+        self._next = begin + self._gap
+        if begin > now:
+            time.sleep(begin - now)
+
+    def hold(self, seconds: float) -> None:
+        """No call for so long."""
+        self._next = max(self._next, time.monotonic() + seconds)
+
+
+#: One for each budget in a worker: batches and calls of one task after the other keep one pace.
+_paces: dict[float, Pace] = {}
+
+
+def _pace(gap: float) -> Pace:
+    return _paces.setdefault(gap, Pace(gap))
+
+
+def model_call(
+    client: Callable[[], Callable[..., str]], tries: int = 5, first_wait: float = 1.0, retry_on: tuple = (Exception,), per_second: float | None = None, slots: int | None = None, most_wait: float = 60.0
+) -> Callable[..., Column]:
+    """A column function that sends each row's values to a client made once per batch, with bounded retries.
+
+    Waits between tries grow as powers of two, or are what the error says in ``retry_after`` (seconds), ``most_wait`` at
+    most. A null first value is not sent and gives null. With ``per_second``, the calls of the whole cluster stay
+    under so many a second: each of ``slots`` (the tasks that can run at once; by default the cores that
+    Spark has now) has an equal share and keeps it by pauses. The function is not deterministic to Spark, so no
+    plan sends a row twice.
+    """
+    if tries < 1 or (per_second is not None and per_second <= 0):
+        raise ValueError("tries and per_second must be positive")
+    if per_second is not None and slots is None:
+        slots = SparkSession.active().sparkContext.defaultParallelism
+    gap = slots / per_second if per_second else 0.0
 
     @F.pandas_udf(StringType())
-    def call(s: pd.Series) -> pd.Series:
-        ask = client()
+    def call(first: pd.Series, *rest: pd.Series) -> pd.Series:
+        ask, pace = client(), _pace(gap)
 
-        def one(text):
+        def one(*values):
+            if values[0] is None:
+                return None
             for k in range(tries):
+                pace.wait()
                 try:
-                    return ask(text)
-                except retry_on:
+                    return ask(*values)
+                except retry_on as e:
                     if k == tries - 1:
                         raise
-                    time.sleep(first_wait * 2**k)
+                    after = getattr(e, "retry_after", None)
+                    wait = min(most_wait, first_wait * 2**k if after is None else float(after))
+                    if after is None or not gap:
+                        time.sleep(wait)
+                    else:  # the server's own delay holds for all calls of this worker
+                        pace.hold(wait)
 
-        return s.map(one, na_action="ignore")
+        return pd.Series([one(*v) for v in zip(first, *rest, strict=True)], dtype=object)
 
-    return call
+    return call.asNondeterministic()

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from corvane.functions import tools
 from corvane.functions.text import sentences, strip
 from corvane.operators import agent, chat, context, evaluate, retrieve, roles, store
 from corvane.operators.chunks import EXAMPLE_WIDTH, chunk, min_len
 from corvane.sources.readers import read_tasks, spread, table
+from corvane.sources.shared import folder
 from corvane.sources.sinks import write_tasks
 
 K, TASK = 10, "the of and thing er"
@@ -179,18 +178,6 @@ def eval_execute(spark, sf_dir):
     return evaluate.run_programs(rows, 20).select("doc_id", "quality", "result", "score")
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share; only a local session may use one of this machine."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = tempfile.mkdtemp(prefix="corvane-")
-        atexit.register(shutil.rmtree, top, ignore_errors=True)
-        top = f"file://{top}"
-    return f"{top.rstrip('/')}/corvane/{name}-{uuid.uuid4().hex}"
-
-
 _JUDGED = "(SELECT CAST(item_id % 3 = item_id % 2 AS INTEGER) AS score, 'library ' || (item_id % 4) AS library, 'kind ' || (item_id % 3) AS kind FROM benchmark)"
 
 
@@ -201,7 +188,7 @@ def eval_end_to_end(spark, sf_dir):
     kinds = F.create_map(F.lit("library"), F.concat(F.lit("library "), (item % 4).cast("string")), F.lit("perturbation_type"), F.concat(F.lit("kind "), (item % 3).cast("string")))
     check = F.concat(F.lit("def test_execution(code):\n    assert code == "), (item % 2).cast("string"))
     tasks = _tasks(spark, sf_dir).select(F.col("text").alias("prompt"), (item % 3).cast("string").alias("reference_code"), kinds.alias("metadata"), check.alias("code_context"))
-    path = _folder(spark, "tasks")
+    path = folder(spark, "tasks")
     write_tasks(tasks, path)
     rows = read_tasks(spark, path, spark.sparkContext.defaultParallelism)
     return evaluate.summary(evaluate.evaluate(rows, lambda answer: answer, lambda task: task["reference_code"], timeout=20))
@@ -295,12 +282,53 @@ def chat_converse(spark, sf_dir):
     return chat.converse(_tasks(spark, sf_dir).select(F.col("item_id").alias("conv_id"), "text"), agents)
 
 
+class _Student:
+    """Says too little until the critic has asked often enough."""
+
+    def __call__(self, prompt: str, context: str) -> str:
+        asked = context.count(agent.FEEDBACK_HEAD)
+        return f"answer to {len(prompt)} characters" if asked >= len(prompt) % 3 else "no"
+
+
+@query(f"{_RANKED}, {_CONTEXT}, {_STEPS} SELECT item_id, 'answer to ' || n || ' characters' AS output, CAST(n % 3 + 1 AS BIGINT) AS iters, length(context) + 35 * (n % 3) AS context_len FROM (SELECT item_id, context, length(array_to_string(steps, chr(10))) AS n FROM ctx JOIN s USING (item_id))")
+def agent_run_client(spark, sf_dir):
+    """A student that is a model's client and needs one to three rounds."""
+    student = tools.model_call(_Student, tries=1)
+    return _loop(spark, sf_dir, agent.Loop(student=student)).select("item_id", "output", "iters", F.length("final_context").cast("bigint").alias("context_len"))
+
+
+def _says(template: str):
+    return tools.model_call(lambda: lambda description, feedback: template % (description, feedback), tries=1)
+
+
+@F.pandas_udf(StructType([StructField("scores", ArrayType(IntegerType())), StructField("feedback", ArrayType(StringType()))]))
+def _scored(item: pd.Series, iteration: pd.Series) -> pd.DataFrame:
+    good = [(i + k) % 4 == 0 for i, k in zip(item, iteration, strict=True)]
+    return pd.DataFrame({"scores": [[5 if g else 3] * 4 for g in good], "feedback": [[f"fb{k}_{n}" for n in range(4)] for k in iteration]})
+
+
+@query(_sql["roles_run"])
+def roles_run_client(spark, sf_dir):
+    """Roles and a critic that are Python clients: the same as roles_run."""
+    clients = roles.Roles(lambda i: _scored(F.col("item_id"), i), _says(roles.ALIGN), _says(roles.RESEARCH), _says(roles.SOLVE))
+    return roles.run(_tasks(spark, sf_dir), clients).select("item_id", "solution", "iters")
+
+
+@query(_sql["chat_converse"])
+def chat_converse_client(spark, sf_dir):
+    """A planner and a critic that are Python clients: the same as chat_converse."""
+    plan = tools.model_call(lambda: lambda heard: f"Plan {len(heard)}", tries=1)
+    critique = tools.model_call(lambda: lambda heard, item: f"Critique {len(heard)}{' TERMINATE' if len(heard) >= item % 9 else ''}", tries=1)
+    seeds = _tasks(spark, sf_dir).select(F.col("item_id").alias("conv_id"), "text")
+    return chat.converse(seeds, [("Planner", plan), ("Critic", lambda heard: critique(heard, F.col("conv_id")))])
+
+
 @query("""SELECT role AS id, arg_max(text, w) AS text, row_number() OVER (ORDER BY min(w)) AS place
 FROM (SELECT role, text, conv_id % 2 * 1000000000000 + conv_id * 1000 + turn AS w FROM conversations) GROUP BY role""")
 def store_reopen(spark, sf_dir):
     """Two adds to a store at a path, the second of them by another store object, read by a third."""
     writes = table(spark, sf_dir, "conversations").select(F.col("role").alias("id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("wseq"), "text", (F.col("conv_id") % 2).alias("part"))
-    path = _folder(spark, "store")
+    path = folder(spark, "store")
     for part in (0, 1):
         store.ChunkStore(spark, path).add(writes.where(F.col("part") == part).drop("part"), batch=f"part{part}")
     rows = store.ChunkStore(spark, path).all()
