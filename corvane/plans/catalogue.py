@@ -114,6 +114,12 @@ def topk_batch(spark, sf_dir):
     return _topk(spark, sf_dir).withColumn("seq", F.col("seq").cast("bigint"))
 
 
+@query(f"{_RANKED} SELECT item_id, rk, doc_id, seq, score FROM top")
+def topk_pruned(spark, sf_dir):
+    """The index that reads common tokens only to complete scores, whatever the size."""
+    return retrieve.topk_batch(_tasks(spark, sf_dir), _chunks(spark, sf_dir), K, prune=True).withColumn("seq", F.col("seq").cast("bigint"))
+
+
 @query(f"{_RANKED} SELECT item_id, rk, doc_id, seq, score FROM top")
 def topk_batch_cross(spark, sf_dir):
     return retrieve.topk_batch_cross(_tasks(spark, sf_dir), _chunks(spark, sf_dir), K).withColumn("seq", F.col("seq").cast("bigint"))

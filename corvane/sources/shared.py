@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local: list[str] = []
 
@@ -38,6 +39,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Rows of a few values each that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def sized(small: DataFrame) -> DataFrame:
+    """A table, written, to be broadcast if its counted rows allow."""
+    small = written(small, "small")
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables of written() that nothing reads any more."""
     for t in tables:
