@@ -339,3 +339,15 @@ def store_reopen(spark, sf_dir):
         store.ChunkStore(spark, path).add(writes.where(F.col("part") == part).drop("part"), batch=f"part{part}")
     rows = store.ChunkStore(spark, path).all()
     return rows.select("id", "text", F.row_number().over(Window.orderBy("pos")).cast("bigint").alias("place"))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY score DESC, w) AS rk, id, score FROM (SELECT conv_id || '#' || turn AS id, conv_id * 1000 + turn AS w, CAST(len(list_intersect(list_filter(string_split_regex(coalesce(text, ''), '{_WS}+'), lambda x: x <> ''), string_split('{TASK}', ' '))) AS BIGINT) AS score FROM conversations ORDER BY score DESC, w LIMIT {K})")
+def store_index(spark, sf_dir):
+    """Messages in three adds, all of them written with another text first, and a query by the store's own index."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat(F.col("conv_id").cast("string"), F.lit("#"), F.col("turn").cast("string")).alias("id"), "text", (F.col("conv_id") * 1000 + F.col("turn")).alias("wseq"), (F.col("turn") % 2).alias("part"))
+    stored = store.ChunkStore(spark, folder(spark, "store"))
+    stored.add(turns.withColumn("text", F.lit(TASK)).drop("part"))
+    for part in (0, 1):
+        stored.add(turns.where(F.col("part") == part).drop("part"))
+    rows = stored.query(TASK, K)
+    return rows.select(F.row_number().over(Window.orderBy(F.desc("score"), "pos")).cast("bigint").alias("rk"), "id", "score")
