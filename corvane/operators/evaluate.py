@@ -1,16 +1,25 @@
 """Evaluation of generated programs: assembly, isolated runs, scores and summaries.
 
 Programs are run as they are, in a child process of a Python worker, with a temporary working
-folder, no standard streams and a time limit. That is isolation against accidents, not against
-malice: run it only on programs, or hosts, that you trust. Turn speculative execution off.
+folder, no standard streams, a time limit and, if asked for, limits of what they use. When a program ends, or has
+gone beyond a limit, all processes that it has begun are killed, wherever they have put themselves. That is
+isolation against accidents, not against malice: run it only on programs, or hosts, that you trust. Turn
+speculative execution off.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
 import subprocess
 import sys
 import tempfile
-from collections.abc import Callable
+import uuid
+from collections import deque
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass
 from pathlib import Path
 
 import pandas as pd
@@ -20,44 +29,146 @@ from pyspark.sql import functions as F
 #: Seconds for a program, and labels.
 TIMEOUT, PASSED, TIMED_OUT, FAILED = 120.0, "passed", "timed out", "failed: "
 
+
+@dataclass(frozen=True)
+class Limits:
+    """What a program may use; 0 is no limit. Beyond memory, file and files the program gets an error of its own;
+    cpu counts as timed out; beyond processes and disk it is stopped and fails.
+
+    memory: bytes of address space. cpu: seconds. file: bytes of one file. files: open files. processes: those of the
+    program at once, it included. disk: bytes in its working folder.
+    """
+
+    memory: int = 0
+    cpu: int = 0
+    file: int = 0
+    files: int = 0
+    processes: int = 0
+    disk: int = 0
+
+
+# The child is a keeper: it forks the program, looks after it, and adopts and kills what it leaves behind.
 _CHILD = """
-import os, signal, sys
-class OutOfTime(Exception): pass
-def ring(*_): raise OutOfTime
-label = None
-source = open(sys.argv[1], encoding="utf-8", newline="").read()
-memory = int(sys.argv[4])
-if memory:
-    import resource
-    resource.setrlimit(resource.RLIMIT_AS, (memory, memory))
-signal.signal(signal.SIGALRM, ring)
-signal.setitimer(signal.ITIMER_REAL, float(sys.argv[3]))
+import ctypes, json, os, resource, signal, sys, time
+source, label, timeout, limits = sys.argv[1], sys.argv[2], float(sys.argv[3]), json.loads(sys.argv[4])
+libc = ctypes.CDLL(None)
+libc.prctl(36, 1, 0, 0, 0)  # orphans below become children of this process
+libc.prctl(1, signal.SIGTERM, 0, 0, 0)  # the end of the worker ends this process
+
+def program():
+    class OutOfTime(Exception): pass
+    def ring(*_): raise OutOfTime
+    signal.signal(signal.SIGTERM, signal.SIG_DFL)
+    text = open(source, encoding="utf-8", newline="").read()
+    to, me = os.open(label, os.O_WRONLY | os.O_CREAT | os.O_TRUNC), os.getpid()
+    for kind, name in ((resource.RLIMIT_AS, "memory"), (resource.RLIMIT_CPU, "cpu"), (resource.RLIMIT_FSIZE, "file"), (resource.RLIMIT_NOFILE, "files")):
+        if limits[name]:
+            resource.setrlimit(kind, (limits[name], limits[name]))
+    signal.signal(signal.SIGALRM, ring)
+    signal.setitimer(signal.ITIMER_REAL, timeout)
+    try:
+        exec(text, {})
+        said = "passed"
+    except OutOfTime:
+        said = "timed out"
+    except BaseException as e:
+        said = "failed: " + str(e)
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+    if os.getpid() == me:  # not a copy of the program that came back from a fork
+        os.write(to, said.encode("utf-8", "replace"))
+
+def below():
+    children = {}
+    for x in os.listdir("/proc"):
+        if x.isdigit():
+            try:
+                stat = open(f"/proc/{x}/stat").read().rpartition(")")[2].split()
+            except OSError:
+                continue
+            if stat[0] != "Z":
+                children.setdefault(int(stat[1]), []).append(int(x))
+    found, todo = [], [os.getpid()]
+    while todo:
+        own = children.get(todo.pop(), [])
+        found += own
+        todo += own
+    return found
+
+def size(top):
+    total = 0
+    for d, _, names in os.walk(top):
+        for n in names:
+            try:
+                total += os.lstat(os.path.join(d, n)).st_blocks * 512
+            except OSError:
+                pass
+    return total
+
+def stop(*_):
+    raise SystemExit
+
+signal.signal(signal.SIGTERM, stop)
+pid, why, begun = os.fork(), None, time.monotonic()
+if not pid:
+    try:
+        program()
+    finally:
+        os._exit(0)
 try:
-    exec(source, {})
-    label = "passed"
-except OutOfTime:
-    label = "timed out"
-except BaseException as e:
-    label = "failed: " + str(e)
+    while os.waitpid(pid, os.WNOHANG) == (0, 0) and time.monotonic() - begun < timeout + 1:
+        if limits["processes"] and len(below()) > limits["processes"]:
+            why = "failed: too many processes"
+        elif limits["disk"] and size(".") > limits["disk"]:
+            why = "failed: too much disk"
+        if why:
+            break
+        time.sleep(0.01)
 finally:
-    signal.setitimer(signal.ITIMER_REAL, 0)
-with open(sys.argv[2], "w", encoding="utf-8", errors="replace") as f:
-    f.write(label)
+    signal.signal(signal.SIGTERM, signal.SIG_IGN)
+    while left := below():
+        for p in left:
+            try:
+                os.kill(p, signal.SIGKILL)
+            except OSError:
+                pass
+        try:
+            while os.waitpid(-1, os.WNOHANG)[0]:
+                pass
+        except OSError:
+            pass
+    if why:
+        open(label, "w").write(why)
 os._exit(0)
 """
 
 
-def execute(program: str, timeout: float = TIMEOUT, memory: int = 0) -> str:
-    """The label of one program. A child that leaves no label (killed, crashed) counts as timed out."""
+def execute(program: str, timeout: float = TIMEOUT, memory: int = 0, limits: Limits | None = None) -> str:
+    """The label of one program. A program that leaves no label (killed, crashed, out of CPU time) counts as timed out."""
+    given = asdict(limits or Limits(memory=memory))
     with tempfile.TemporaryDirectory() as top:
         source, label, cwd = Path(top, "program"), Path(top, "label"), Path(top, "cwd")
         cwd.mkdir()
         source.write_text(program, encoding="utf-8", newline="")
         try:
-            subprocess.run([sys.executable, "-c", _CHILD, source, label, str(timeout), str(memory)], cwd=cwd, stdin=subprocess.DEVNULL, stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL, timeout=timeout + 1, start_new_session=True)
+            subprocess.run([sys.executable, "-c", _CHILD, source, label, str(timeout), json.dumps(given)], cwd=cwd, stdin=subprocess.DEVNULL, stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL, timeout=timeout + 30, start_new_session=True)
         except subprocess.TimeoutExpired:
             pass
-        return label.read_text(encoding="utf-8") if label.exists() else TIMED_OUT
+        return (label.read_text(encoding="utf-8") if label.exists() else "") or TIMED_OUT
+
+
+def _once(journal: str | None, key: str, run: Callable[[], str]) -> str:
+    """The label that the journal has for a run, or what ``run`` says now, noted there."""
+    if not journal:
+        return run()
+    note = Path(journal, hashlib.sha256(key.encode()).hexdigest())
+    if note.exists():
+        return note.read_text(encoding="utf-8")
+    said = run()
+    part = note.with_name(f"{note.name}.{uuid.uuid4().hex}")
+    part.write_text(said, encoding="utf-8")
+    os.replace(part, note)  # whole or not at all
+    return said
 
 
 def assemble(context: Column, answer: Column, quote: bool = False) -> Column:
@@ -67,15 +178,49 @@ def assemble(context: Column, answer: Column, quote: bool = False) -> Column:
     return F.concat(context, F.lit("\ncode = "), value, F.lit("\ntest_execution(code)\n"), second)
 
 
-def run_programs(rows: DataFrame, timeout: float = TIMEOUT, memory: int = 0, column: str = "program") -> DataFrame:
-    """Adds result, passed and score (0 or 1)."""
+#: Programs that a task runs at once, and rows of results that it hands on together.
+PROCESSES, ROWS = 4, 64
+
+
+def run_programs(rows: DataFrame, timeout: float = TIMEOUT, memory: int = 0, column: str = "program", limits: Limits | None = None, processes: int = PROCESSES, journal: str | None = None, key: str | None = None) -> DataFrame:
+    """Adds result, passed and score (0 or 1).
+
+    Each task keeps ``processes`` programs running, one row to a process: as one ends, the next row begins,
+    whatever the batch. With ``journal``, a folder that all workers can open, a run is noted there under
+    its ``key`` column (by default the program) and its limits, and a task that is repeated takes what is noted.
+    """
+
+    def labels(programs: Iterator[tuple[str, str]], pool: ThreadPoolExecutor) -> Iterator[str]:
+        running: deque = deque()
+        for program, name in programs:
+            running.append(pool.submit(_once, journal, f"{timeout} {limits} {memory} {name}", lambda p=program: execute(p, timeout, memory, limits)))
+            if len(running) >= 2 * processes:
+                yield running.popleft().result()
+        while running:
+            yield running.popleft().result()
 
     def batches(frames):
-        for frame in frames:
-            yield frame.assign(result=[execute(p, timeout, memory) for p in frame[column]])
+        kept: deque = deque()
+
+        def programs():
+            for frame in frames:
+                names = frame[key or column].astype(str)
+                for at in range(0, len(frame), ROWS):
+                    kept.append(frame.iloc[at : at + ROWS])
+                    yield from zip(frame[column].iloc[at : at + ROWS], names.iloc[at : at + ROWS], strict=True)
+
+        with ThreadPoolExecutor(processes) as pool:
+            found: list[str] = []
+            for label in labels(programs(), pool):
+                found.append(label)
+                if len(found) == len(kept[0]):
+                    yield kept.popleft().assign(result=found)
+                    found = []
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", result string"
-    out = rows.mapInPandas(batches, schema)
+    if processes < 1:
+        raise ValueError("processes must be at least 1")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "result") + ", result string"
+    out = rows.drop("result").mapInPandas(batches, schema)
     return out.withColumn("passed", F.col("result") == PASSED).withColumn("score", F.col("passed").cast("int"))
 
 
