@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from corvane.functions import tools
+from corvane.functions import tables, tools
 from corvane.functions.text import sentences, strip
 from corvane.operators import agent, chat, context, evaluate, retrieve, roles, store
 from corvane.operators.chunks import EXAMPLE_WIDTH, chunk, min_len
-from corvane.sources.readers import read_tasks, spread, table
+from corvane.sources.readers import read_numbered_tasks, read_tasks, spread, table
 from corvane.sources.shared import folder
 from corvane.sources.sinks import write_tasks
 
@@ -351,3 +351,43 @@ def store_index(spark, sf_dir):
         stored.add(turns.where(F.col("part") == part).drop("part"))
     rows = stored.query(TASK, K)
     return rows.select(F.row_number().over(Window.orderBy(F.desc("score"), "pos")).cast("bigint").alias("rk"), "id", "score")
+
+
+def _by_function(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    tables.register(spark, EXAMPLE_WIDTH)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spark.sql(f"SELECT d.doc_id, CAST(c.seq AS BIGINT) AS seq, c.part AS text FROM {{docs}} d, LATERAL {name}(d.text, {EXAMPLE_WIDTH}) c", docs=docs)
+
+
+@query(_sql["chunk_fixed"])
+def chunk_udtf(spark, sf_dir):
+    """The same chunks by a Python table function in SQL."""
+    return _by_function(spark, sf_dir, "chunk_text")
+
+
+@query(_sql["chunk_fixed"])
+def chunk_sql_function(spark, sf_dir):
+    """The same chunks by a table function of built-in functions."""
+    return _by_function(spark, sf_dir, "chunk_rows")
+
+
+_WORDS = f"list_filter(string_split_regex(text, '{_WS}+'), lambda x: x <> '')"
+
+
+@query(f"""SELECT conv_id, turn, CAST(i AS BIGINT) AS seq, CASE i WHEN 0 THEN text WHEN 1 THEN array_to_string(w[:len(w) // 2], ' ') ELSE array_to_string(w[len(w) // 2 + 1:], ' ') END AS part
+FROM (SELECT conv_id, turn, text, w, unnest(range(CASE WHEN len(w) < 2 THEN 1 ELSE 3 END)) AS i FROM (SELECT conv_id, turn, text, {_WORDS} AS w FROM conversations WHERE text IS NOT NULL))""")
+def augment_udtf(spark, sf_dir):
+    """Messages with their halves by a Python table function in SQL."""
+    tables.register(spark)
+    turns = table(spark, sf_dir, "conversations")
+    return spark.sql("SELECT t.conv_id, t.turn, CAST(a.seq AS BIGINT) AS seq, a.part FROM {turns} t, LATERAL augment_text(t.text) a", turns=turns)
+
+
+@query("SELECT CAST(row_number() OVER (PARTITION BY item_id % 3 ORDER BY item_id) AS BIGINT) AS line, item_id % 3 AS part, text AS prompt FROM benchmark")
+def task_lines(spark, sf_dir):
+    """Tasks as JSON lines in three files, read again with the file and line of each."""
+    path, item = folder(spark, "lines"), F.col("item_id")
+    tasks = _tasks(spark, sf_dir).select((item % 3).alias("part"), "item_id", F.struct(F.col("text").alias("prompt"), F.lit("1").alias("reference_code"), F.create_map(F.lit("library"), F.lit("l")).alias("metadata"), F.lit("c").alias("code_context")).alias("x"))
+    tasks.select("part", "item_id", F.to_json("x").alias("value")).repartition(3, "part").sortWithinPartitions("part", "item_id").select("part", "value").write.partitionBy("part").text(path)
+    rows = read_numbered_tasks(spark, f"{path}/part=*")
+    return rows.select("line", F.regexp_extract("file", "part=([0-9]+)", 1).cast("bigint").alias("part"), "prompt")
