@@ -3,10 +3,14 @@
 A page is a sequence of tags and blocks of text. Words and tags have weights by where they
 stand, log-odds fitted on labelled pages (those with exactly one article or main element,
 whose inside is the label); without them, words count up and tags down. A linear scan finds the
-run of the sequence with the largest sum. Parts that are boilerplate by their element, role or class
-are left out, but for wrappers: an element that only its class or id marks is not boilerplate if it
-holds all article and main elements of the page, or all h1 headings of a page without these, or
-if nothing would be left of the page. Parts of a class name after a modifier
+run of the sequence with the largest sum. Scripts, styles, controls and what else is no text are never part of it.
+Elements that their tag, role, hiding, class or id marks as boilerplate are left out, too, but all these marks are
+evidence only: a marked element is a wrapper, and stays, if it holds all article and main elements of the page,
+or if nothing would be left of the page without it; one that is not for navigation by its tag or role also if it holds
+all h1 headings of a page without articles, or nearly all of a page without either; and a form if it holds more
+text than forms have. A class or id marks only if all its words are those of boilerplate, or its last is one that
+names nothing else; it marks no quotation; an id that is made of the words of the element's heading, and
+any id of a heading, says what the text is about. Parts of a class name after a modifier
 (``has-sidebar``) or with one at the end (``comments-enabled``) mark nothing. The run is widened to the
 content element that holds all that is kept of it, if there is one, else by those that hold over half
 of it; it is never narrowed.
@@ -30,7 +34,9 @@ from .shared import bounded_batches
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
-LEFT_OUT = frozenset("nav aside footer form script style noscript template iframe svg button select textarea head title menu dialog object canvas".split())
+LEFT_OUT = frozenset("script style noscript template iframe svg button select textarea head title object canvas".split())
+#: Marked by their tag: for navigation, and others.
+NAVIGATION, ASIDE = frozenset("nav aside footer menu".split()), frozenset("form dialog".split())
 CONTENT = frozenset(("article", "main"))
 #: An end tag of another element does not close one that holds any of these.
 HOLDS = ("article", "main", "body", "table", "section")
@@ -42,7 +48,18 @@ BOILERPLATE = frozenset(
 #: Boilerplate unless the element also names content.
 WEAK = frozenset("header footer masthead meta tags tools".split())
 NAMES_CONTENT = frozenset("article post entry content story main body text".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu toolbar".split())
+#: Of a name that holds a word of BOILERPLATE, the other words that leave it one.
+NEUTRAL = frozenset(
+    "area article articles bar block blog body bottom box btn button buttons col column container content count desktop email entry field fixed foot footer form global grid group head header heading holder icon icons info inner input item items left link links list main media mobile module more outer page panel post posts primary right row section secondary sign signup site slot sticky text thread title top unit up user view wrap wrapper".split()
+)
+#: Words that, as a name's last, name nothing but boilerplate.
+STRUCTURE = frozenset("advert advertisement breadcrumb breadcrumbs commentlist comments disqus modal navbar newsletter pager pagination popup sidebar sponsored toolbar widget".split())
+#: Elements of running text, which names of one kind of word alone mark; headings, of which no id does.
+RUNNING, HEADINGS = frozenset("p pre dd dt figcaption td h1 h2 h3 h4 h5 h6".split()), frozenset("h1 h2 h3 h4 h5 h6".split())
+ROLES = frozenset("dialog alert form".split())
+NAVIGATION_ROLES = frozenset("navigation banner contentinfo complementary search menu toolbar".split())
+#: Words in a form from which on it is a wrapper.
+FORM_WORDS = 100
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^<>]*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*("[^"]*+"|'[^']*+'|[^\s"'>]++))?""", re.I)
@@ -54,26 +71,46 @@ _END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 SMOOTH, WORD, TAG = 1.0, 0.2, -1.0
 
 
-def _kind(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
-    """A tag's feature, whether its element is boilerplate by itself, whether by name, and whether it is or names content."""
-    out, named = tag in LEFT_OUT, False
+def _marks(tag: str, part: str) -> bool:
+    """Whether a class or id, as one name, is one of boilerplate."""
+    words = _NAME.findall(part)
+    named = [w for w in words if w in BOILERPLATE or w in WEAK]
+    if not named or tag == "blockquote" or _MODIFIER.fullmatch(part):
+        return False
+    if not any(w in BOILERPLATE for w in named) and any(w in NAMES_CONTENT for w in words):
+        return False
+    if all(w in BOILERPLATE or w in WEAK or w in NEUTRAL or len(w) < 3 or w.isdigit() for w in words):
+        return True
+    return words[-1] in STRUCTURE and tag not in RUNNING
+
+
+def _kind(tag: str, attributes: str) -> tuple[str, bool, str, str, bool]:
+    """A tag's feature, whether it is never text, its mark (navigation, other, or none), the id that alone marks it, and whether it is or names content."""
+    mark = "navigation" if tag in NAVIGATION else "other" if tag in ASIDE else ""
     names: set[str] = set()
-    own: set[str] = set()  # without those of modifiers
+    by_class, by_id, own = False, "", set()
     content = tag in CONTENT
     if attributes:
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id"):
                 names.update(_NAME.findall(value))
-                own.update(x for part in value.split() if not _MODIFIER.fullmatch(part) for x in _NAME.findall(part))
-            elif key == "role":
-                out |= value in ROLES
-            elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
-                out = True
+                own.update(w for part in value.split() if not _MODIFIER.fullmatch(part) for w in _NAME.findall(part))
+                if key == "class":
+                    by_class |= any(_marks(tag, part) for part in value.split())
+                elif tag not in HEADINGS and _marks(tag, value):
+                    by_id = value
+            elif key == "role" and value in NAVIGATION_ROLES:
+                mark = "navigation"
+            elif (key == "role" and value in ROLES) or key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
+                mark = mark or "other"
         if names:
             content |= bool(names & NAMES_CONTENT)
-            named = bool(own & BOILERPLATE) or (bool(own & WEAK) and not content)
-    return ".".join([tag, *sorted(names & (BOILERPLATE | WEAK | NAMES_CONTENT))]), out, named, content and not out and not named and tag in BLOCKS
+            if content and not own & BOILERPLATE:  # such as entry-header
+                by_class, by_id = False, ""
+    marked = mark or ("other" if by_class or by_id else "")
+    alone = by_id if not mark and not by_class else ""
+    return ".".join([tag, *sorted(names & (BOILERPLATE | WEAK | NAMES_CONTENT))]), tag in LEFT_OUT, marked, alone, content and not marked and tag in BLOCKS
 
 
 class Page:
@@ -82,11 +119,11 @@ class Page:
     def __init__(self, source: str):
         self.items: list[tuple] = []
         self.regions: list[tuple[int, int, bool]] = []  # first and last item of content elements; whether by tag
-        stack: list[tuple[str, str, bool, int, bool, bool]] = []  # tag, feature, boilerplate, its item, content, boilerplate by name
+        stack: list[tuple[str, str, bool, int, bool, str, str]] = []  # tag, feature, never text, its item, content, mark, marking id
         open_at: dict[str, list[int]] = {}  # places in the stack of each tag that is open
         blocks: list[str] = []  # features of the blocks that are open
         contents = 0  # content elements that are open
-        named: list[tuple[int, int]] = []  # first and last item of what is boilerplate by name
+        marked: list[tuple[int, int, str, str]] = []  # first and last item of what is marked, how, and by which id alone
         unlike: set[int] = set()  # items of content elements that a name marks, such as a comment's
         text: list[str] = []
         out = 0  # boilerplate elements that are open
@@ -106,14 +143,14 @@ class Page:
         def pop(to: int) -> None:
             nonlocal out, contents
             while len(stack) > to:
-                tag, _, bad, item, content, by_name = stack.pop()
+                tag, _, bad, item, content, mark, alone = stack.pop()
                 open_at[tag].pop()
                 if tag in BLOCKS:
                     blocks.pop()
                 out -= bad
                 contents -= content
-                if by_name:
-                    named.append((item, len(self.items)))
+                if mark:
+                    marked.append((item, len(self.items), "form" if tag == "form" and mark == "other" else mark, alone))
                 if content:
                     self.regions.append((item, len(self.items), tag in CONTENT))
 
@@ -136,7 +173,7 @@ class Page:
                     text.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
                 continue
             tag, closing, attributes = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
-            block = tag in BLOCKS or tag in LEFT_OUT
+            block = tag in BLOCKS or tag in LEFT_OUT or (tag == "label" and bool(open_at.get("form")))
             if block:
                 close_block()
             elif tag == "br":
@@ -149,13 +186,15 @@ class Page:
                     self.items.append(("t", "/" + stack[depth][1]))
                     pop(depth)
                 continue
-            feature, bad, by_name, content = _kind(tag, attributes)
+            feature, bad, mark, alone, content = _kind(tag, attributes)
+            if tag == "label":
+                bad = block
             if tag == "header":  # that of the content has its title
-                bad, by_name = not contents, False
+                mark, alone = "" if contents else "navigation", ""
             if tag in CONTENT or tag in ("body", "html"):
-                if by_name:
+                if mark:
                     unlike.add(len(self.items))
-                bad, by_name, content = False, False, tag in CONTENT
+                mark, alone, content = "", "", tag in CONTENT
             if block:
                 if tag in ITEMS:
                     keep = last(*(("dd", "dt") if tag in ("dd", "dt") else (tag,)))
@@ -173,53 +212,71 @@ class Page:
                 continue
             if tag not in VOID and not empty:
                 open_at.setdefault(tag, []).append(len(stack))
-                stack.append((tag, feature, bad, len(self.items) - 1, content, by_name))
+                stack.append((tag, feature, bad, len(self.items) - 1, content, mark, alone))
                 if tag in BLOCKS:
                     blocks.append(feature)
                 out += bad
                 contents += content
         close_block()
         pop(0)
-        self._leave_out(named, [(p, q) for p, q, by_tag in self.regions if by_tag and p not in unlike])
+        self._leave_out(marked, [(p, q) for p, q, by_tag in self.regions if by_tag and p not in unlike])
 
-    def _leave_out(self, named: list[tuple[int, int]], tagged: list[tuple[int, int]]) -> None:
-        """Leaves out what its name marks, but for wrappers.
-
-        Those are elements that hold all article and main elements of the page; where there is
-        none, those that hold all its h1 headings; and if nothing would be left, the outermost.
-        """
-        if not tagged:
-            tagged = [(i, i) for i, x in enumerate(self.items) if x[0] == "t" and x[1].partition(".")[0] == "h1"]
+    def _leave_out(self, marked: list[tuple[int, int, str, str]], tagged: list[tuple[int, int]]) -> None:
+        """Leaves out what is marked, but for wrappers and for ids that are made of headings."""
+        words = [0, *accumulate(len(x[2]) if x[0] == "b" and not x[3] else 0 for x in self.items)]
+        heads = [i for i, x in enumerate(self.items) if x[0] == "t" and x[1].partition(".")[0] == "h1"]
         least, most = min((p for p, _ in tagged), default=0), max((q for _, q in tagged), default=0)
-        named = [(p, q) for p, q in named if not (tagged and p <= least and most <= q)]
-        while True:
-            change = Counter()
-            for p, q in named:
-                change[p] += 1
-                change[q] -= 1
-            inside, gone, left = 0, [], False
-            for i, x in enumerate(self.items):
-                inside += change[i]
-                if x[0] == "b" and not x[3]:
-                    if inside:
-                        gone.append(i)
-                    else:
-                        left = True
-            if left or not gone:
-                break
-            named = _inner(named)  # nothing would be left of the page: they wrap it
+        spans = []
+        for p, q, how, alone in marked:
+            if tagged and p <= least and most <= q:
+                continue
+            if how != "navigation" and not tagged and heads and p <= heads[0] and heads[-1] < q:
+                continue
+            if how == "form" and words[q] - words[p] > FORM_WORDS:
+                continue
+            if alone and alone not in ("comments", "respond", "disqus") and self._slug(p, q) == _NAME.findall(alone):
+                continue
+            spans.append((p, q, how))
+        # how many marked elements, other and for navigation, each block lies in
+        change, depths = {False: Counter(), True: Counter()}, []
+        for p, q, how in spans:
+            change[how == "navigation"][p] += 1
+            change[how == "navigation"][q] -= 1
+        others = navigation = 0
+        for i, x in enumerate(self.items):
+            others += change[False][i]
+            navigation += change[True][i]
+            if x[0] == "b" and not x[3]:
+                depths.append((i, others, navigation, len(x[2])))
+        free = Counter()
+        for _, o, n, size in depths:
+            if not n:
+                free[o] += size
+        if free:
+            # the outermost others are wrappers while nothing is left, or next to nothing of a page without a sign of where its text is
+            left, hidden = 0, sum(size for _, o, _, size in depths if o)
+            by = Counter()
+            for _, o, _, size in depths:
+                by[o] += size
+            wrappers = 0
+            for wrappers in range(max(by) + 1):
+                left += free[wrappers]
+                hidden -= by[wrappers] if wrappers else 0
+                if left and (tagged or heads or hidden < 10 * left):
+                    break
+            gone = [i for i, o, n, _ in depths if n or o > wrappers]
+        else:  # all of the page is in elements for navigation
+            least = min((o + n for _, o, n, _ in depths), default=0)
+            gone = [i for i, o, n, _ in depths if o + n > least]
         for i in gone:
             self.items[i] = (*self.items[i][:3], True)
 
-
-def _inner(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Those spans that lie in another."""
-    out, end = [], -1
-    for p, q in sorted(spans, key=lambda x: (x[0], -x[1])):
-        if q <= end:
-            out.append((p, q))
-        end = max(end, q)
-    return out
+    def _slug(self, p: int, q: int) -> list[str]:
+        """The words of the first heading between two items."""
+        for i in range(p, min(q, len(self.items) - 1)):
+            if self.items[i][0] == "t" and self.items[i][1].partition(".")[0] in HEADINGS:
+                return _NAME.findall(" ".join(self.items[i + 1][2]).lower()) if self.items[i + 1][0] == "b" else []
+        return []
 
 
 def labelled(page: Page) -> list[tuple[str, int, bool]]:
