@@ -1,13 +1,15 @@
 """Language identification by Bayesian fusion of text, declared language, address and host.
 
 Text: a multinomial model of byte trigrams (lower-cased letters, spaces and non-ASCII bytes),
-fitted on distinct texts of every declared language, chosen by hash: of each at most an equal
+fitted on distinct texts of the ``MOST_LANGUAGES`` declared languages that have most of them (what else
+is declared counts as missing), chosen by hash: of each at most an equal
 share of ``sample_rows``, though never less than ``LEAST`` (a language adds 256 KB to the model),
 and a text's rows count by their logarithm; one more class, ``und``, takes all trigrams for equally
 likely. Declared language and address suffix: each names
 the true language with a given reliability. Host: a prior over languages from a grouped count
 of what the text model alone says over all rows, smoothed towards the prior of the suffix,
-itself smoothed towards that of all rows.
+itself smoothed towards that of all rows. Scores, priors and posteriors are one array each, in the
+order of languages, so plans are the same for any number of them.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .shared import bounded_batches, written
 BUCKETS = 1 << 16
 #: Distinct texts of a language that the model may always take.
 LEAST = 50
+#: Languages of the model: declared values of fewer texts are evidence that is missing.
+MOST_LANGUAGES = 256
 #: Hosts in a table that is broadcast (a host is a name and a number per language); more are joined by a shuffle.
 BROADCAST_HOSTS = 50_000
 UND = "und"
@@ -97,7 +101,8 @@ def _primary(c: Column) -> Column:
 def _sample(rows: DataFrame, most: int) -> list[tuple[str, str, float]]:
     """Of each declared language, its distinct texts of the least hashes; n rows of a text weigh 1 + log2(n)."""
     labelled = rows.where(F.col("_declared").isNotNull() & (F.col("_text") != "")).select("_declared", "_text", F.shiftrightunsigned(F.xxhash64("_text"), 2).alias("_h"))
-    texts = {r[0]: r[1] for r in labelled.groupBy("_declared").agg(F.approx_count_distinct("_h")).collect()}
+    most_texts = labelled.groupBy("_declared").agg(F.approx_count_distinct("_h").alias("n")).orderBy(F.desc("n"), "_declared").limit(MOST_LANGUAGES)
+    texts = {r[0]: r[1] for r in most_texts.collect()}
     if not texts:
         return []
     bound = max(LEAST, -(-most // len(texts)))
@@ -143,53 +148,66 @@ def language_id(
         rows = rows.select(*dict.fromkeys([*keep, text]))
         return rows.mapInArrow(_scores(table, text, keep), f"{schema}, _scores array<float>, _n bigint")
 
-    def says(scores: list[Column]) -> Column:
-        best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-        out = F.lit(langs[len(scores) - 1])
-        for lang, s in list(zip(langs, scores, strict=True))[-2::-1]:
-            out = F.when(s == best, F.lit(lang)).otherwise(out)
-        return F.when(F.col("_n") > 0, out)
+    names_of = F.lit(langs) if len(langs) > 1 else F.array(F.lit(UND))
+
+    def says(scores: Column) -> Column:
+        """The place of the largest, the first of equals; null without a letter."""
+        return F.when(F.col("_n") > 0, F.array_position(scores, F.array_max(scores)).cast("int"))
 
     base = scored(src, [f"_c{i}" for i in range(len(names))] + ["_declared", "_suffix", "_host"])
     if own_text is None:
         base = written(base, "scores")
-    text_says = says([F.get("_scores", F.lit(i)) for i in range(len(langs))])
-    counts = (scored(src, ["_suffix", "_host"]) if own_text else base).select("_host", F.coalesce("_suffix", F.lit("")).alias("_suffix"), text_says.alias("l")).groupBy("_host", "_suffix", "l").count()
-    counts = counts.groupBy("_host", "_suffix").agg(*[F.sum(F.when(F.col("l") == x, F.col("count")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(known)]) if known else None
     if known:
-        counts = written(counts, "hosts")
-        whole = counts.agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in range(len(known))]).first()
-        total = sum(whole)
-        overall = [(whole[i] + 1) / (total + len(known)) for i in range(len(known))]
-        of = lambda p: sum((F.col(f"{p}{i}") for i in range(1, len(known))), F.col(f"{p}0"))
-        parents = counts.groupBy("_suffix").agg(*[F.sum(f"n{i}").alias(f"s{i}") for i in range(len(known))])
-        prior = counts.join(parents, "_suffix")
-        parent = [(F.col(f"s{i}") + smoothing * overall[i]) / (of("s") + smoothing) for i in range(len(known))]
-        prior = written(prior.select("_host", F.col("_suffix").alias("_sfx"), *[F.log((F.col(f"n{i}") + smoothing * parent[i]) / (of("n") + smoothing)).alias(f"p{i}") for i in range(len(known))]), "priors")
+        prior = _priors((scored(src, ["_suffix", "_host"]) if own_text else base).select("_host", F.coalesce("_suffix", F.lit("")).alias("_sfx"), says(F.col("_scores")).alias("l")), len(known), smoothing)
         few = prior.count() <= BROADCAST_HOSTS
         base = base.withColumn("_sfx", F.coalesce("_suffix", F.lit(""))).join(F.broadcast(prior) if few else prior, ["_host", "_sfx"], "left")
-    scores = []
-    for i, lang in enumerate(langs):
-        s = F.get("_scores", F.lit(i)).cast("double") * text_weight
-        if lang == UND:
-            scores.append((s + F.lit(math.log(und_prior))).alias(f"q{i}"))
-            continue
-        s = s + F.col(f"p{i}") + math.log(1 - und_prior)
-        for column, right in (("_declared", declared_right), ("_suffix", suffix_right)):
+    else:
+        base = base.withColumn("_prior", F.array().cast("array<double>"))
+
+    def evidence(column: str, right: float) -> tuple[str, Column]:
+        place = F.array_position(F.lit(known), F.col(column)) if known else F.lit(0)
+        return f"{column}_at", F.when(place > 0, place.cast("int") - 1)
+
+    kinds = (("_declared", declared_right), ("_suffix", suffix_right))
+    base = base.withColumns(dict(evidence(*k) for k in kinds))
+
+    def posterior(x: Column, i: Column) -> Column:
+        for column, right in kinds:
             wrong = math.log((1 - right) / max(1, len(known) - 1)) if right < 1 else -1e9
-            s = s + F.when(F.col(column).isin(known), F.when(F.col(column) == lang, math.log(right)).otherwise(wrong)).otherwise(0.0)
-        scores.append(s.alias(f"q{i}"))
-    out = base.select(*base.columns, *scores)
-    q = [F.col(f"q{i}") for i in range(len(langs))]
-    best = F.greatest(*q) if len(q) > 1 else q[0]
-    winner = says(q)
+            x = x + F.when(F.col(f"{column}_at").isNull(), 0.0).when(F.col(f"{column}_at") == i, math.log(right)).otherwise(wrong)
+        return x
+
+    text = F.zip_with(F.slice("_scores", 1, len(known)), "_prior", lambda s, p: s.cast("double") * text_weight + p + math.log(1 - und_prior))
+    und = F.element_at("_scores", len(langs)).cast("double") * text_weight + math.log(und_prior)
+    out = base.withColumn("_q", F.concat(F.transform(text, posterior), F.array(und)))
+    out = out.withColumn("_best", F.array_max("_q"))
+    winner = F.element_at(names_of, says(F.col("_q")))
     language = F.when(winner != UND, winner)
     return out.select(
         *[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)], language.alias("language"),
-        F.when(F.col("_n") > 0, 1 / sum((F.exp(x - best) for x in q[1:]), F.exp(q[0] - best))).alias("confidence"), text_says.alias("text_language"), language.isNull().alias("rejected"),
+        F.when(F.col("_n") > 0, 1 / F.aggregate("_q", F.lit(0.0), lambda total, x: total + F.exp(x - F.col("_best")))).alias("confidence"), F.element_at(names_of, says(F.col("_scores"))).alias("text_language"), language.isNull().alias("rejected"),
     )
 
 
+def _priors(said: DataFrame, known: int, smoothing: float) -> DataFrame:
+    """said(_host, _sfx, l: place from 1, null or beyond ``known`` for none) to (_host, _sfx, _prior): log-probabilities of languages in order."""
+    counts = written(said.groupBy("_host", "_sfx", "l").count(), "hosts")
+    whole = {r[0]: r[1] for r in counts.groupBy("l").agg(F.sum("count")).collect() if r[0] and r[0] <= known}  # a row for each language
+    total = sum(whole.values())
+    overall = F.lit([(whole.get(i, 0) + 1) / (total + known) for i in range(1, known + 1)])
+
+    def arrays(*keys: str) -> DataFrame:
+        """For each key the counts of all languages in order, and their sum."""
+        own = counts.groupBy(*keys, "l").agg(F.sum("count").alias("n")).where(F.col("l").isNotNull() & (F.col("l") <= known))
+        own = own.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("l", "n"))).alias("m"), F.sum("n").alias("sum"))
+        own = counts.select(*keys).distinct().join(own, list(keys), "left")
+        return own.select(*keys, F.transform(F.sequence(F.lit(1), F.lit(known)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))).alias("n"), F.coalesce("sum", F.lit(0)).alias("sum"))
+
+    parents = arrays("_sfx").select("_sfx", F.zip_with("n", overall, lambda n, o: (n + smoothing * o) / (F.col("sum") + smoothing)).alias("parent"))
+    prior = arrays("_host", "_sfx").join(parents, "_sfx")
+    return written(prior.select("_host", "_sfx", F.zip_with("n", "parent", lambda n, p: F.log((n + smoothing * p) / (F.col("sum") + smoothing))).alias("_prior")), "priors")
+
+
 def page_evidence(url: Column, html: Column) -> dict[str, Column]:
     """Declared language, suffix and host of a web page: the lang attribute of its html tag, the language part of its path or else the last label of its host, and its host."""
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
