@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,3 +48,22 @@ def compatible(left: DataFrame, right: StructType) -> bool:
     """Whether a block that takes ``right`` can follow one that gives ``left``."""
     have = {f.name: f.dataType for f in left.schema}
     return all(have.get(f.name) == f.dataType for f in right)
+
+
+@dataclass(frozen=True)
+class Block:
+    """A step from rows to rows, with the columns that it needs."""
+
+    name: str
+    takes: StructType
+    run: Callable[[DataFrame], DataFrame]
+
+
+def connect(rows: DataFrame, *blocks: Block) -> DataFrame:
+    """The blocks one after the other. One that can't follow is an error when the plan is made, before any row is read."""
+    before = "the input"
+    for block in blocks:
+        if not compatible(rows, block.takes):
+            raise TypeError(f"{block.name} can't follow {before}: it takes {block.takes.simpleString()}")
+        rows, before = block.run(rows), block.name
+    return rows

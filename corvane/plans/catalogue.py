@@ -5,17 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from corvane.functions import tables, tools
 from corvane.functions.text import sentences, strip
 from corvane.operators import agent, chat, context, evaluate, retrieve, roles, store
-from corvane.operators.chunks import EXAMPLE_WIDTH, chunk, min_len
-from corvane.sources.readers import read_numbered_tasks, read_tasks, spread, table
+from corvane.operators.chunks import EXAMPLE_WIDTH, Block, apply_filter, augment, chunk, connect, min_len
+from corvane.sources.readers import address_column, endpoint_column, numbered_lines, read_numbered_tasks, read_tasks, spread, table
 from corvane.sources.shared import folder
-from corvane.sources.sinks import write_tasks
+from corvane.sources.sinks import write_summary, write_tasks
 
 K, TASK = 10, "the of and thing er"
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -391,3 +391,81 @@ def task_lines(spark, sf_dir):
     tasks.select("part", "item_id", F.to_json("x").alias("value")).repartition(3, "part").sortWithinPartitions("part", "item_id").select("part", "value").write.partitionBy("part").text(path)
     rows = read_numbered_tasks(spark, f"{path}/part=*")
     return rows.select("line", F.regexp_extract("file", "part=([0-9]+)", 1).cast("bigint").alias("part"), "prompt")
+
+
+_KEPT = "(SELECT doc_id, seq, replace(text, 'the', 'THE') AS text FROM c WHERE length(text) >= 100)"
+
+
+def _rule(text: Column) -> Column:
+    """A filter that rewrites what it keeps."""
+    return F.when(F.length(text) >= 100, F.replace(text, F.lit("the"), F.lit("THE")))
+
+
+def _parts(text: Column) -> Column:
+    """A chunk and its first half."""
+    return F.array(text, F.left(text, F.floor(F.length(text) / 2).cast("int")))
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id, CAST(seq AS BIGINT) AS seq, text FROM {_KEPT}")
+def filter_hook(spark, sf_dir):
+    """Chunks through a filter that drops some and rewrites the others."""
+    return apply_filter(_chunks(spark, sf_dir), _rule).select("doc_id", F.col("seq").cast("bigint").alias("seq"), "text")
+
+
+_HALVES = "SELECT doc_id || '#' || seq || '.' || k AS id, CASE k WHEN 0 THEN text ELSE text[:length(text) // 2] END AS text"
+
+
+@query(f"WITH {_CHUNKS} {_HALVES} FROM (SELECT doc_id, seq, text, unnest(range(2)) AS k FROM c)")
+def augment_chunks(spark, sf_dir):
+    """Each chunk and its first half, as chunks of their own."""
+    return augment(_chunks(spark, sf_dir), _parts).select("id", "text")
+
+
+@query(f"WITH {_CHUNKS} {_HALVES} FROM (SELECT doc_id, seq, text, unnest(range(2)) AS k FROM {_KEPT})")
+def connected_blocks(spark, sf_dir):
+    """Chunks, filter and augmentation as blocks, whose columns are compared when they are connected."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = Block("chunks", docs.schema, lambda d: chunk(d, EXAMPLE_WIDTH))
+    takes = chunk(docs.limit(0), EXAMPLE_WIDTH).schema
+    blocks = [cut, Block("filter", takes, lambda c: apply_filter(c, _rule)), Block("augmentation", takes, lambda c: augment(c, _parts))]
+    return connect(docs, *blocks).select("id", "text")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'http://' || replace(s_name, '#', '-') || ':' || (8000 + s_nationkey) || '/v1' ELSE 'http://localhost:' || (9000 + s_nationkey) || '/v1' END AS url FROM supplier")
+def service_addresses(spark, sf_dir):
+    """The address of each supplier's service, by its mode of connection."""
+    remote = address_column(F.replace("s_name", F.lit("#"), F.lit("-")), F.col("s_nationkey") + 8000, F.lit("/v1"))
+    local = address_column(F.lit("localhost"), F.col("s_nationkey") + 9000, F.lit("/v1"))
+    mode = F.when(F.col("s_suppkey") % 3 == 0, F.lit("remote")).otherwise(F.lit("local"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", endpoint_column(mode, remote, local).alias("url"))
+
+
+@query("SELECT c_custkey, tool, CASE tool WHEN 'weather' THEN 'The weather is GOOD!' ELSE CAST(c_custkey * 2 + c_nationkey AS VARCHAR) END AS result FROM customer, (SELECT unnest(['calculator', 'weather']) AS tool)")
+def tools_found(spark, sf_dir):
+    """Every tool that the session's catalogue lists, called by its name for every customer."""
+    tools.register(spark)
+    asked = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.col("c_custkey").cast("string"), F.lit("*2+"), F.col("c_nationkey").cast("string")).alias("expression"))
+    found = tools.tool_list(spark)
+    answers = asked.select("c_custkey", *[F.expr(f"{name}(expression)").alias(name) for name in found])
+    return answers.select("c_custkey", F.inline(F.array(*[F.struct(F.lit(name).alias("tool"), F.col(name).alias("result")) for name in found])))
+
+
+@query(f"""WITH s AS ({_sql["eval_summary"]}),
+r AS (SELECT level, 1 AS part, coalesce(key, 'score') AS k, CAST(n AS VARCHAR) AS n, coalesce(printf('%.3f', mean), '') AS m FROM s WHERE level = 0 OR key IS NOT NULL UNION ALL SELECT * FROM (VALUES (0, 0, 'all', 'count', 'mean'), (1, 0, 'library', 'count', 'mean'), (2, 0, 'kind', 'count', 'mean'))),
+w AS (SELECT *, max(length(k)) OVER b AS wk, max(length(n)) OVER b AS wn, max(length(m)) OVER b AS wm FROM r WINDOW b AS (PARTITION BY level))
+SELECT row_number() OVER (ORDER BY level, part, k) AS line, rtrim(rpad(k, CAST(wk AS INTEGER), ' ') || '  ' || lpad(n, CAST(wn AS INTEGER), ' ') || '  ' || lpad(m, CAST(wm AS INTEGER), ' ')) AS text FROM w""")
+def summary_file(spark, sf_dir):
+    """The summary's three blocks of text, written as a file and read again by its lines."""
+    path = folder(spark, "summary")
+    write_summary(evaluate.summary(_scores(spark, sf_dir)), path)
+    return numbered_lines(spark, path).select("line", F.col("value").alias("text"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'passed' WHEN 1 THEN 'failed: ' WHEN 2 THEN 'failed: [Errno 24] Too many open files: ''/dev/null''' ELSE 'failed: [Errno 27] File too large' END AS result, CAST(doc_id % 4 = 0 AS INTEGER) AS score FROM labels")
+def eval_guarded(spark, sf_dir):
+    """A program per row of labels: every fourth is modest, the others want too much memory, too many files or too large a file."""
+    write = "f = open('f', 'wb', 0)\nwhile True:\n    f.write(bytes(1 << 16))"
+    wants = [F.lit(p) for p in ("assert True", "x = bytearray(1 << 40)", "x = [open('/dev/null') for _ in range(200)]", write)]
+    rows = spread(table(spark, sf_dir, "labels").select("doc_id")).withColumn("program", F.get(F.array(*wants), (F.col("doc_id") % 4).cast("int")))
+    limits = evaluate.Limits(memory=1 << 30, file=100_000, files=64)
+    return evaluate.run_programs(rows, 20, limits=limits).select("doc_id", "result", "score")

@@ -90,6 +90,17 @@ def endpoint(mode: str, remote: str, local: str) -> str:
     return remote if mode == "remote" else local
 
 
+def address_column(host: Column, port: Column, path: Column) -> Column:
+    """address() of a table's columns; null if a part is."""
+    return F.concat(F.lit("http://"), host, F.lit(":"), port.cast("string"), path)
+
+
+def endpoint_column(mode: Column, remote: Column, local: Column) -> Column:
+    """endpoint() of a table's columns; another mode, or none, ends the job with the same message."""
+    wrong = F.raise_error(F.concat(F.lit("not implemented connection: "), F.coalesce(mode, F.lit("None"))))
+    return F.when(mode == "remote", remote).when(mode == "local", local).otherwise(wrong)
+
+
 def configured(env: Mapping[str, str]) -> str:
     """The model's address by environment: CONNECTION chooses between LLM_ and VLLM_ with HOST, PORT and PATH each."""
     remote, local = (address(*(env.get(f"{p}_{part}", "") for part in ("HOST", "PORT", "PATH"))) for p in ("LLM", "VLLM"))
