@@ -7,8 +7,12 @@ done with. The lines of the others have two templates: the masked line (the line
 letter is left of it), whatever its token count; and, from ``min_tokens`` tokens on, its leaf with
 its constants. Those are its best-supported tokens, the support of a token being the number of
 the leaf's lines that hold it at its place: as many as make, with the masked tokens, ``constant``
-of all its tokens, and any that tie with the last of them. What is left are fields. Only ranks of
-supports count, never their size, so a template is the same in a corpus of any size.
+of all its tokens, and any that tie with the last of them. A line whose supports first fall to
+half or less before that has no more constants than come before the fall, if these and the
+masked tokens make ``loose`` of all and two more than the leading ones: a template may have
+that many fields, and a leaf of lines that only begin alike is no template. What is not constant
+is a field. Only ranks and ratios of supports count, never their size, so a template is the same
+in a corpus of any size.
 Templates that recur in ``min_docs`` documents are boilerplate: their lines go, but for the
 first one in the corpus, so that each line that goes has an earlier one of its template.
 
@@ -38,7 +42,7 @@ def _masked(text: Column) -> Column:
     return F.when(text.rlike("[0-9]"), F.regexp_replace(text, r"[!-/:-~]*+[0-9][!-~]*+", FIELD)).otherwise(text)
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 8, constant: float = 0.75, depth: int = 3, min_tokens: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, min_docs: int = 8, constant: float = 0.75, depth: int = 3, min_tokens: int = 3, id_col: str = "doc_id", text_col: str = "text", loose: float = 0.6) -> DataFrame:
     """Drops lines whose template recurs in ``min_docs`` documents or more, but for the first such line.
 
     First is by id (null first), then by line. Lines of fewer than ``min_tokens`` tokens have no
@@ -68,10 +72,15 @@ def line_dedup(docs: DataFrame, min_docs: int = 8, constant: float = 0.75, depth
     unique = long.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens"))
     masked = F.size(F.filter("tokens", lambda t: t == FIELD))
     least = F.greatest(F.ceil(F.size("tokens") * float(constant)).cast("int") - masked, F.lit(1))
-    places = unique.select("leaf", "line", "n", least.alias("least"), F.posexplode(F.transform("tokens", lambda t: F.when(t != FIELD, F.xxhash64(t)))).alias("place", "token")).where("token is not null")
+    lead = F.least(F.lit(int(depth)), F.floor(F.size("tokens") / 2).cast("int"))
+    enough = F.greatest(F.ceil(F.size("tokens") * float(loose)).cast("int"), lead + 2) - masked
+    places = unique.select("leaf", "line", "n", least.alias("least"), enough.alias("loose"), F.posexplode(F.transform("tokens", lambda t: F.when(t != FIELD, F.xxhash64(t)))).alias("place", "token")).where("token is not null")
     supports = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("s"))
-    ranked = places.join(supports, ["leaf", "place", "token"]).groupBy("leaf", "line", "least").agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "place", "token"))).alias("t"))
+    ranked = places.join(supports, ["leaf", "place", "token"]).groupBy("leaf", "line", "least", "loose").agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "place", "token"))).alias("t"))
     ranked = ranked.where(F.size("t") >= F.col("least"))
+    # supports are negative here; the last place has none after it
+    fall = F.array_position(F.zip_with("t", F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(1))), lambda a, b: b["s"] * 2 >= a["s"]), True).cast("int")
+    ranked = ranked.withColumn("least", F.when((fall >= F.col("loose")) & (fall > 0), F.least(fall, "least")).otherwise(F.col("least")))
     constants = F.array_sort(F.transform(F.filter("t", lambda x: x["s"] <= F.element_at("t", F.col("least"))["s"]), lambda x: F.struct(x["place"], x["token"])))
     templates = ranked.select("leaf", "line", constants.alias("constants")).select("leaf", "line", F.xxhash64("leaf", "constants").alias("template"), F.hash("constants", "leaf").alias("check"))
 

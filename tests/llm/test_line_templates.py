@@ -8,9 +8,10 @@ import pytest
 from corvane.llm.line_dedup import line_dedup
 
 NAMES, TOWNS = ("Ann Bob Cy Dee Eve Fay Gus".split(), "Rome Oslo Bern Kiel Lyon Bath Linz Metz".split())
+SITES = "News Blog Wiki Shop Mail Forum".split()
 
 
-def brute(rows, min_docs=8, constant=0.75, depth=3, min_tokens=3):
+def brute(rows, min_docs=8, constant=0.75, depth=3, min_tokens=3, loose=0.6):
     """{(id, text): gone line numbers}, by the definition."""
     mask = lambda t: re.sub(r"[!-/:-~]*+[0-9][!-~]*+", "<*>", t)
     lines = []
@@ -32,7 +33,11 @@ def brute(rows, min_docs=8, constant=0.75, depth=3, min_tokens=3):
         own = [(p, t) for p, t in enumerate(tokens) if t != "<*>"]
         least = max(1, math.ceil(constant * len(tokens)) - (len(tokens) - len(own)))
         if len(tokens) >= min_tokens and len(own) >= least:
-            s = sorted((support[leaf, p, t] for p, t in own), reverse=True)[least - 1]
+            ranks = sorted((support[leaf, p, t] for p, t in own), reverse=True)
+            fall = next((k for k in range(1, len(ranks)) if 2 * ranks[k] <= ranks[k - 1]), len(tokens))
+            if fall + len(tokens) - len(own) >= max(math.ceil(loose * len(tokens)), min(depth, len(tokens) // 2) + 2):
+                least = min(least, fall)
+            s = ranks[least - 1]
             by[leaf, tuple((p, t) for p, t in own if support[leaf, p, t] >= s)].append((doc, no))
     gone = collections.defaultdict(set)
     for places in by.values():
@@ -58,6 +63,22 @@ def test_fields_are_fields_in_a_corpus_of_any_size(spark, n):
     assert {r.doc_id for r in out.where("n_dropped = 0").collect()} == {0} and out.count() == n
 
 
+@pytest.mark.parametrize("n", [20, 200, 10_000])
+def test_three_fields_in_eight_tokens(spark, n):
+    rng = np.random.default_rng(n)
+    line = lambda: f"Posted on site by {rng.choice(NAMES)} {rng.choice(TOWNS)} in {rng.choice(SITES)}"
+    rows = [(k, line()) for k in range(n)]
+    gone = check(spark, rows)
+    assert {d for d, lost in gone.items() if lost} == set(rows[1:])
+
+
+def test_lines_that_only_begin_alike_stay(spark):
+    rng = np.random.default_rng(3)
+    words = [a + b for a in "bcdfghklmnprst" for b in "aeiou"]
+    rows = [(k, f"It was on a {' '.join(rng.choice(words, 3))}") for k in range(60)] + [(100 + k, f"Thank you for the {rng.choice(words)} {rng.choice(words)}") for k in range(60)]
+    assert not any(check(spark, rows).values())
+
+
 def test_brute_force(spark):
     rng = np.random.default_rng(11)
     words = [f"w{chr(97 + k)}" for k in range(26)]
@@ -71,6 +92,7 @@ def test_brute_force(spark):
     gone = check(spark, rows)
     assert sum(map(len, gone.values())) > 300
     check(spark, rows, min_docs=3, constant=0.5, depth=2)
+    check(spark, rows, min_docs=3, constant=0.9, loose=0.5)
 
 
 def test_ties_and_long_texts(spark):
