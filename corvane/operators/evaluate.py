@@ -1,6 +1,6 @@
 """Evaluation of generated programs: assembly, isolated runs, scores and summaries.
 
-Programs are run as they are, in a child process of a Python worker, with a temporary working
+Programs are run as they are, in child processes of a Python worker, with a temporary working
 folder, no standard streams, a time limit and, if asked for, limits of what they use. When a program ends, or has
 gone beyond a limit, all processes that it has begun are killed, wherever they have put themselves. That is
 isolation against accidents, not against malice: run it only on programs, or hosts, that you trust. Turn
@@ -9,12 +9,16 @@ speculative execution off.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import os
+import select
+import signal
 import subprocess
 import sys
 import tempfile
+import threading
 import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -47,19 +51,25 @@ class Limits:
     disk: int = 0
 
 
-# The child is a keeper: it forks the program, looks after it, and adopts and kills what it leaves behind.
+# The child is a keeper: it forks each program that it is sent, looks after it, and adopts and kills what it leaves behind.
 _CHILD = """
 import ctypes, json, os, resource, signal, sys, time
-source, label, timeout, limits = sys.argv[1], sys.argv[2], float(sys.argv[3]), json.loads(sys.argv[4])
+timeout, limits = float(sys.argv[1]), json.loads(sys.argv[2])
+asked, answers, null = os.dup(0), os.dup(1), os.open(os.devnull, os.O_RDWR)
+for standard in (0, 1, 2):
+    os.dup2(null, standard)
+os.close(null)
 libc = ctypes.CDLL(None)
 libc.prctl(36, 1, 0, 0, 0)  # orphans below become children of this process
 libc.prctl(1, signal.SIGTERM, 0, 0, 0)  # the end of the worker ends this process
 
-def program():
+def program(text, label, cwd):
     class OutOfTime(Exception): pass
     def ring(*_): raise OutOfTime
     signal.signal(signal.SIGTERM, signal.SIG_DFL)
-    text = open(source, encoding="utf-8", newline="").read()
+    os.close(asked)
+    os.close(answers)
+    os.chdir(cwd)
     to, me = os.open(label, os.O_WRONLY | os.O_CREAT | os.O_TRUNC), os.getpid()
     for kind, name in ((resource.RLIMIT_AS, "memory"), (resource.RLIMIT_CPU, "cpu"), (resource.RLIMIT_FSIZE, "file"), (resource.RLIMIT_NOFILE, "files")):
         if limits[name]:
@@ -109,52 +119,90 @@ def stop(*_):
     raise SystemExit
 
 signal.signal(signal.SIGTERM, stop)
-pid, why, begun = os.fork(), None, time.monotonic()
-if not pid:
+
+def keep(text, label, cwd):
+    pid, why, begun = os.fork(), None, time.monotonic()
+    if not pid:
+        try:
+            program(text, label, cwd)
+        finally:
+            os._exit(0)
     try:
-        program()
+        while os.waitpid(pid, os.WNOHANG) == (0, 0) and time.monotonic() - begun < timeout + 1:
+            if limits["processes"] and len(below()) > limits["processes"]:
+                why = "failed: too many processes"
+            elif limits["disk"] and size(cwd) > limits["disk"]:
+                why = "failed: too much disk"
+            if why:
+                break
+            time.sleep(0.01)
     finally:
-        os._exit(0)
-try:
-    while os.waitpid(pid, os.WNOHANG) == (0, 0) and time.monotonic() - begun < timeout + 1:
-        if limits["processes"] and len(below()) > limits["processes"]:
-            why = "failed: too many processes"
-        elif limits["disk"] and size(".") > limits["disk"]:
-            why = "failed: too much disk"
-        if why:
-            break
-        time.sleep(0.01)
-finally:
-    signal.signal(signal.SIGTERM, signal.SIG_IGN)
-    while left := below():
-        for p in left:
+        signal.signal(signal.SIGTERM, signal.SIG_IGN)
+        while left := below():
+            for p in left:
+                try:
+                    os.kill(p, signal.SIGKILL)
+                except OSError:
+                    pass
             try:
-                os.kill(p, signal.SIGKILL)
+                while os.waitpid(-1, os.WNOHANG)[0]:
+                    pass
             except OSError:
                 pass
-        try:
-            while os.waitpid(-1, os.WNOHANG)[0]:
-                pass
-        except OSError:
-            pass
-    if why:
-        open(label, "w").write(why)
+        if why:
+            open(label, "w").write(why)
+    signal.signal(signal.SIGTERM, stop)
+
+for line in os.fdopen(asked, "rb"):
+    keep(*json.loads(line))
+    os.write(answers, b".")
 os._exit(0)
 """
 
 
-def execute(program: str, timeout: float = TIMEOUT, memory: int = 0, limits: Limits | None = None) -> str:
-    """The label of one program. A program that leaves no label (killed, crashed, out of CPU time) counts as timed out."""
-    given = asdict(limits or Limits(memory=memory))
-    with tempfile.TemporaryDirectory() as top:
-        source, label, cwd = Path(top, "program"), Path(top, "label"), Path(top, "cwd")
-        cwd.mkdir()
-        source.write_text(program, encoding="utf-8", newline="")
+class Keeper:
+    """A child process that runs programs, one after the other, each in a fresh copy of it. It starts with the first, and again
+    if a program has ended it."""
+
+    def __init__(self, timeout: float = TIMEOUT, limits: Limits | None = None):
+        self._timeout, self._limits, self._child = timeout, json.dumps(asdict(limits or Limits())), None
+
+    def run(self, program: str) -> str:
+        """The label of one program. A program that leaves no label (killed, crashed, out of CPU time) counts as timed out."""
+        with tempfile.TemporaryDirectory() as top:
+            label, cwd = Path(top, "label"), Path(top, "cwd")
+            cwd.mkdir()
+            if not self._answered(json.dumps([program, str(label), str(cwd)])):
+                self.close()
+            return (label.read_text(encoding="utf-8") if label.exists() else "") or TIMED_OUT
+
+    def _answered(self, line: str) -> bool:
+        if self._child is None:
+            self._child = subprocess.Popen([sys.executable, "-c", _CHILD, str(self._timeout), self._limits], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, start_new_session=True)
+        answer = select.poll()
+        answer.register(self._child.stdout, select.POLLIN)
         try:
-            subprocess.run([sys.executable, "-c", _CHILD, source, label, str(timeout), json.dumps(given)], cwd=cwd, stdin=subprocess.DEVNULL, stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL, timeout=timeout + 30, start_new_session=True)
-        except subprocess.TimeoutExpired:
-            pass
-        return (label.read_text(encoding="utf-8") if label.exists() else "") or TIMED_OUT
+            self._child.stdin.write(line.encode() + b"\n")
+            self._child.stdin.flush()
+            return bool(answer.poll(1000 * (self._timeout + 30))) and self._child.stdout.read(1) == b"."
+        except BrokenPipeError:
+            return False
+
+    def close(self) -> None:
+        if self._child is not None:
+            child, self._child = self._child, None
+            with contextlib.suppress(ProcessLookupError):
+                os.killpg(child.pid, signal.SIGKILL)
+            child.stdout.close()
+            with contextlib.suppress(BrokenPipeError):
+                child.stdin.close()
+            child.wait()
+
+
+def execute(program: str, timeout: float = TIMEOUT, memory: int = 0, limits: Limits | None = None) -> str:
+    """The label of one program, in a keeper of its own."""
+    with contextlib.closing(Keeper(timeout, limits or Limits(memory=memory))) as keeper:
+        return keeper.run(program)
 
 
 def _once(journal: str | None, key: str, run: Callable[[], str]) -> str:
@@ -186,14 +234,14 @@ def run_programs(rows: DataFrame, timeout: float = TIMEOUT, memory: int = 0, col
     """Adds result, passed and score (0 or 1).
 
     Each task keeps ``processes`` programs running, one row to a process: as one ends, the next row begins,
-    whatever the batch. With ``journal``, a folder that all workers can open, a run is noted there under
+    whatever the batch. A process is a copy of the task's keepers, of which there are as many: Python starts for them alone. With ``journal``, a folder that all workers can open, a run is noted there under
     its ``key`` column (by default the program) and its limits, and a task that is repeated takes what is noted.
     """
 
-    def labels(programs: Iterator[tuple[str, str]], pool: ThreadPoolExecutor) -> Iterator[str]:
+    def labels(programs: Iterator[tuple[str, str]], pool: ThreadPoolExecutor, own: threading.local) -> Iterator[str]:
         running: deque = deque()
         for program, name in programs:
-            running.append(pool.submit(_once, journal, f"{timeout} {limits} {memory} {name}", lambda p=program: execute(p, timeout, memory, limits)))
+            running.append(pool.submit(_once, journal, f"{timeout} {limits} {memory} {name}", lambda p=program: own.keeper.run(p)))
             if len(running) >= 2 * processes:
                 yield running.popleft().result()
         while running:
@@ -209,13 +257,19 @@ def run_programs(rows: DataFrame, timeout: float = TIMEOUT, memory: int = 0, col
                     kept.append(frame.iloc[at : at + ROWS])
                     yield from zip(frame[column].iloc[at : at + ROWS], names.iloc[at : at + ROWS], strict=True)
 
-        with ThreadPoolExecutor(processes) as pool:
-            found: list[str] = []
-            for label in labels(programs(), pool):
-                found.append(label)
-                if len(found) == len(kept[0]):
-                    yield kept.popleft().assign(result=found)
-                    found = []
+        own = threading.local()  # each of the pool's threads has a keeper
+        with contextlib.ExitStack() as keepers:
+
+            def begin():
+                own.keeper = keepers.enter_context(contextlib.closing(Keeper(timeout, limits or Limits(memory=memory))))
+
+            with ThreadPoolExecutor(processes, initializer=begin) as pool:
+                found: list[str] = []
+                for label in labels(programs(), pool, own):
+                    found.append(label)
+                    if len(found) == len(kept[0]):
+                        yield kept.popleft().assign(result=found)
+                        found = []
 
     if processes < 1:
         raise ValueError("processes must be at least 1")
