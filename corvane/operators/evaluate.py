@@ -62,11 +62,13 @@ os.close(null)
 libc = ctypes.CDLL(None)
 libc.prctl(36, 1, 0, 0, 0)  # orphans below become children of this process
 libc.prctl(1, signal.SIGTERM, 0, 0, 0)  # the end of the worker ends this process
+signal.pthread_sigmask(signal.SIG_BLOCK, {signal.SIGCHLD})  # waited for
 
 def program(text, label, cwd):
     class OutOfTime(Exception): pass
     def ring(*_): raise OutOfTime
     signal.signal(signal.SIGTERM, signal.SIG_DFL)
+    signal.pthread_sigmask(signal.SIG_UNBLOCK, {signal.SIGCHLD})
     os.close(asked)
     os.close(answers)
     os.chdir(cwd)
@@ -120,6 +122,15 @@ def stop(*_):
 
 signal.signal(signal.SIGTERM, stop)
 
+def reaped():
+    '''Takes in children that have ended; whether others are left. Without a child there is nothing below.'''
+    try:
+        while os.waitpid(-1, os.WNOHANG)[0]:
+            pass
+    except ChildProcessError:
+        return False
+    return True
+
 def keep(text, label, cwd):
     pid, why, begun = os.fork(), None, time.monotonic()
     if not pid:
@@ -128,27 +139,24 @@ def keep(text, label, cwd):
         finally:
             os._exit(0)
     try:
-        while os.waitpid(pid, os.WNOHANG) == (0, 0) and time.monotonic() - begun < timeout + 1:
+        while os.waitpid(pid, os.WNOHANG) == (0, 0) and (left := begun + timeout + 1 - time.monotonic()) > 0:
             if limits["processes"] and len(below()) > limits["processes"]:
                 why = "failed: too many processes"
             elif limits["disk"] and size(cwd) > limits["disk"]:
                 why = "failed: too much disk"
             if why:
                 break
-            time.sleep(0.01)
+            # until a child ends; what is counted from outside is looked at in between
+            signal.sigtimedwait({signal.SIGCHLD}, min(left, 0.01) if limits["processes"] or limits["disk"] else left)
     finally:
         signal.signal(signal.SIGTERM, signal.SIG_IGN)
-        while left := below():
-            for p in left:
+        while reaped():
+            for p in below():
                 try:
                     os.kill(p, signal.SIGKILL)
                 except OSError:
                     pass
-            try:
-                while os.waitpid(-1, os.WNOHANG)[0]:
-                    pass
-            except OSError:
-                pass
+            signal.sigtimedwait({signal.SIGCHLD}, 0.01)
         if why:
             open(label, "w").write(why)
     signal.signal(signal.SIGTERM, stop)
