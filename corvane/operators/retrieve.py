@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,11 +106,54 @@ def topk_batch(tasks: DataFrame, chunks: DataFrame, k: int = 10, prune: bool | N
     return _ranked(every, k).select("item_id", F.col("rk").cast("bigint").alias("rk"), *ORDER, "score")
 
 
+#: Chunks and tasks of a block of topk_batch_cross.
+CHUNKS, TASKS = 1 << 14, 1 << 13
+
+
+def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The scores of all pairs of a block of chunks and a block of tasks, of which each task's best ``k`` are kept."""
+
+    def best(chunks: pa.Table, tasks: pa.Table) -> pa.Table:
+        chunks = chunks.sort_by("place")
+        n, held, asked = len(chunks), chunks["t"].combine_chunks(), tasks["q"].combine_chunks()
+        words = asked.flatten().unique()
+        word, at = np.asarray(pc.fill_null(pc.index_in(held.flatten(), words), -1)), np.asarray(pc.list_parent_indices(held))
+        order = np.argsort(word, kind="stable")
+        at, ends = at[order], np.searchsorted(word[order], np.arange(len(words) + 1))  # the chunks of each word
+        of = np.split(np.asarray(pc.index_in(asked.flatten(), words)), np.searchsorted(np.asarray(pc.list_parent_indices(asked)), np.arange(1, len(asked))))
+        no_chunk, no_task = (np.asarray(x.is_null()) for x in (held, asked))
+        row, pair, score = [np.zeros(0, "int64")], [np.zeros(0, "int64")], [np.zeros(0, "int64")]
+        for task in range(len(asked) if n else 0):
+            shared = np.bincount(np.concatenate([at[:0], *(at[ends[w] : ends[w + 1]] for w in of[task])]), minlength=n)
+            # no score where a text is null: behind all others, and in store order as those of one score
+            shared[no_chunk | no_task[task]] = -1
+            top = np.argpartition(n * shared - np.arange(n), n - min(k, n))[n - min(k, n) :]
+            row.append(np.full(len(top), task))
+            pair.append(top)
+            score.append(shared[top])
+        row, pair, score = (np.concatenate(x) for x in (row, pair, score))
+        return pa.table({"item_id": tasks["item_id"].take(row)} | {c: chunks[c].take(pair) for c in ORDER} | {"score": pa.array(score, mask=score < 0)})
+
+    return best
+
+
 def topk_batch_cross(tasks: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
-    """The same by comparing every pair: a check of topk_batch, all pairs by design and not for large inputs."""
-    asked = tasks.select("item_id", tokens(F.col("text")).alias("q"))
-    held = chunks.select(*ORDER, tokens(F.col("text")).alias("t"))
-    scored = held.crossJoin(asked).select("item_id", *ORDER, F.size(F.array_intersect("t", "q")).cast("bigint").alias("score"))
+    """The same by comparing every pair: a check of topk_batch, all pairs by design.
+
+    Blocks of ``CHUNKS`` chunks meet blocks of ``TASKS`` tasks, each a group of its own. A group keeps only the best ``k``
+    chunks of each of its tasks, so no table of all pairs is ever made or sorted.
+    """
+    spark = chunks.sparkSession
+    n, m = chunks.count(), tasks.count()
+    high, wide = max(-(-n // CHUNKS), min(3 * spark.sparkContext.defaultParallelism, n), 1), max(-(-m // TASKS), 1)
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    asked = tasks.select("item_id", tokens(F.col("text")).alias("q")).withColumn("across", F.pmod(F.xxhash64("item_id"), F.lit(wide)).cast("int"))
+    held = chunks.select(*ORDER, tokens(F.col("text")).alias("t")).withColumn("down", F.pmod(F.xxhash64(*ORDER), F.lit(high)).cast("int"))
+    block = ["down", "across"]
+    held = held.withColumn("across", every(wide)).withColumn("place", F.row_number().over(Window.partitionBy(*block).orderBy(*ORDER)))
+    kinds = {f.name: f.dataType.simpleString() for f in [*tasks.select("item_id").schema, *chunks.select(*ORDER).schema]}
+    pairs = held.groupBy(*block).cogroup(asked.withColumn("down", every(high)).groupBy(*block))
+    scored = pairs.applyInArrow(_best(k), ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", score bigint")
     return _ranked(scored, k).select("item_id", F.col("rk").cast("bigint").alias("rk"), *ORDER, "score")
 
 
